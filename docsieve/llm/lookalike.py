@@ -7,6 +7,7 @@ accents and ignores invisible characters), and every class gets one canonical me
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -40,12 +41,38 @@ INVISIBLE = (
 )
 
 
-@F.pandas_udf("string")
-def compose(values: pd.Series) -> pd.Series:
-    """Canonical composition (NFC)."""
+def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+def compose(value: str | Column) -> Column:
+    """Canonical composition (NFC), which Spark has no function for."""
+    return F.pandas_udf(_compose, "string")(value)
+
+
+_PLAIN = {ord(c): None for c in "\u200b\u2060\u2061\u2062\u2063\u2064\ufeff\u180e\u034f\u200c\u200d\u200e\u200f"}
+_PLAIN |= {ord(a): b for a, b in zip(WIDE, WIDE_AS)} | {ord(c): " " for c in SPACES} | {ord(a): b for a, b in LIGATURES.items()}
+_LETTERS = {ord(a): b for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)}
+
+
+def plain(text: str | None) -> str | None:
+    """typed() for one text in Python, for running text: every invisible character goes, a soft hyphen only if it does not end the text."""
+    if text is None or text.isascii():
+        return text
+    out = re.sub(r"\u00ad(?!\s*$)", "", text).translate(_PLAIN)
+    if not _LETTERS.keys().isdisjoint(map(ord, out)):
+        words = out.split(" ")
+        for i, w in enumerate(words):
+            if not any(("\u0370" <= c <= "\u052f") and ord(c) not in _LETTERS for c in w):
+                words[i] = w.translate(_LETTERS)
+        out = " ".join(words)
+    return unicodedata.normalize("NFC", out)
+
+
+def _plain(values: pd.Series) -> pd.Series:
+    return values.map(plain)
+
+
 def typed(value: Column) -> Column:
     """``value`` with look-alike characters replaced by those a typist would use; combining accents stay as they are."""
     v = F.regexp_replace(value, INVISIBLE, "")
