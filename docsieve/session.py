@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,20 @@ def small(df: DataFrame, size: str | None = None, limit: int = BROADCAST_BYTES)
 def once(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key. Redelivered rows are alike in every column, so any of them will do."""
     return df.dropDuplicates(list(keys))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the cluster, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="docsieve-"), "docsieve.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)  # Spark's own file server hands it to executors, also to new ones
+    _SHIPPED.add(sc.applicationId)
