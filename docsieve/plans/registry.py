@@ -1,21 +1,444 @@
-"""Registered queries of the reference's own operators."""
+"""Registered queries of the reference's own operators, and the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docsieve.operators import documents as D
+from docsieve.operators import entities as E
+from docsieve.operators import evaluation as V
+from docsieve.operators import recognizers as R
+from docsieve.operators import regions as G
+from docsieve.operators import review as Q
+from docsieve.operators import templates as T
+from docsieve.session import cut, once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Common SQL: one row per key, as redelivered rows are alike.
+_N = "n AS (SELECT DISTINCT ON (narrative_id) * FROM narratives)"
+_E = "e AS (SELECT DISTINCT ON (entity_id) * FROM entities)"
+_W = "w AS (SELECT DISTINCT ON (word_key) * FROM words)"
+_P = "p AS (SELECT DISTINCT ON (document_id, page_index) * FROM doc_pages)"
+
+
+def narratives(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "narratives"), "narrative_id")
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "entities"), "entity_id")
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "words"), "word_key")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "doc_pages"), "document_id", "page_index")
+
+
+# --- recognition -------------------------------------------------------------------------------
+
+
+def _spans_sql(source: str, key: str, recognizers: tuple[R.Recognizer, ...]) -> str:
+    """The split-and-extract formula; letters beyond ASCII become underscores, word characters that no capital pattern takes."""
+    parts = []
+    for i, r in enumerate(recognizers):
+        rx = r.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT {key}, t, '{r.entity_type}' AS entity_type, CAST({r.confidence} AS DOUBLE) AS confidence, {i} AS r, {r.group} AS grp,
+                string_split_regex(t, '{rx}') AS gaps, regexp_extract_all(t, '{rx}', 0) AS hits, regexp_extract_all(t, '{rx}', {r.group}) AS vals FROM src WHERE regexp_matches(t, '{rx}')""")
+    return f"""
+        src AS (SELECT {key}, regexp_replace(text, '[À-ɏ]', '_', 'g') AS t FROM {source} WHERE text <> ''),
+        raw AS ({' UNION ALL '.join(parts)}),
+        cells AS (SELECT * EXCLUDE (gaps, hits, vals), unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM raw),
+        placed AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY {key}, r ORDER BY i) AS BIGINT) AS stop FROM cells)"""
+
+
+_VIN_SQL = (
+    "(" + " + ".join(f"CAST(substr(translate(val, '{R.VIN_LETTERS}', '{R.VIN_VALUES}'), {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(R.VIN_WEIGHTS)) + ") % 11"
+)
+
+
+@query(f"""
+    WITH {_N}, {_spans_sql('n', 'narrative_id', R.RECOGNIZERS)}
+    SELECT narrative_id, entity_type, CAST(stop - length(val) AS INT) AS start_offset, CAST(stop - length(val) + length(rtrim(val, E' \\n\\t\\r')) AS INT) AS end_offset, confidence
+    FROM placed
+    WHERE (entity_type <> 'VIN' OR substr(val, 9, 1) = (CASE WHEN {_VIN_SQL} = 10 THEN 'X' ELSE CAST({_VIN_SQL} AS VARCHAR) END))
+      AND (entity_type <> 'DATE_OF_BIRTH' OR (len(split_part(replace(val, '-', '/'), '/', 3)) = 4 AND try_strptime(replace(val, '-', '/'), '%m/%d/%Y') BETWEEN TIMESTAMP '1900-01-01' AND TIMESTAMP '2026-01-01'))""")
+def pii_all(spark: SparkSession, d: str) -> DataFrame:
+    return R.detect(narratives(spark, d).select("narrative_id", "text"), "narrative_id").select("narrative_id", "entity_type", "start_offset", "end_offset", "confidence")
+
+
+_CONTACT = tuple(r for r in R.RECOGNIZERS if r.entity_type in ("PHONE_NUMBER", "EMAIL"))
+
+
+@query(f"""
+    WITH {_spans_sql('documents', 'doc_id', _CONTACT)}
+    SELECT doc_id, entity_type, CAST(stop - length(val) AS INT) AS start_offset, val AS value FROM placed""")
+def pii_contacts(spark: SparkSession, d: str) -> DataFrame:
+    found = R.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", scope="page", recognizers=_CONTACT)
+    return found.select("doc_id", "entity_type", "start_offset", F.regexp_replace("text", r"[\x{C0}-\x{24F}]", "_").alias("value"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, entity_count, redacted_text): recognised, merged and safely redacted documents."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = cut(R.detect(docs, "doc_id", scope="page"))
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("entity_count"))
+    return E.redact(docs, found, "doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), "redacted_text")
+
+
+@query()
+def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
+    return flagship(spark, d)
+
+
+_LOG_SQL = "text"
+for _p, _by in R.LOG_PATTERNS:
+    _LOG_SQL = f"regexp_replace({_LOG_SQL}, '{_p}', '{_by}', 'g')"
+
+
+@query(f"SELECT doc_id, {_LOG_SQL.replace('text', 't')} AS line FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS t FROM documents)")
+def log_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", R.log_filter(F.regexp_replace("text", r"[\x{C0}-\x{24F}]", "_")).alias("line"))
+
+
+_ALL_VINS = "SELECT narrative_id, unnest(regexp_extract_all(text, '\\b[A-HJ-NPR-Z0-9]{17}\\b')) AS val FROM n"
+
+
+@query(f"WITH {_N}, v AS ({_ALL_VINS}) SELECT narrative_id, val AS vin, substr(val, 9, 1) = (CASE WHEN {_VIN_SQL} = 10 THEN 'X' ELSE CAST({_VIN_SQL} AS VARCHAR) END) AS valid FROM v")
+def vin_check(spark: SparkSession, d: str) -> DataFrame:
+    v = narratives(spark, d).select("narrative_id", F.explode(F.regexp_extract_all("text", F.lit(R.RECOGNIZERS[0].pattern), F.lit(0))).alias("vin"))
+    return v.select("narrative_id", "vin", R.vin_valid(F.col("vin")).alias("valid"))
+
+
+# --- entities ----------------------------------------------------------------------------------
+
+_MERGED = f"""{_E}, o AS (
+        SELECT *, max(end_offset) OVER (PARTITION BY narrative_id, page_index, scope, entity_type ORDER BY start_offset, end_offset DESC, entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+        FROM e WHERE start_offset IS NOT NULL AND end_offset IS NOT NULL),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach <= start_offset THEN 1 ELSE 0 END) OVER (PARTITION BY narrative_id, page_index, scope, entity_type ORDER BY start_offset, end_offset DESC, entity_id ROWS UNBOUNDED PRECEDING) AS island FROM o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY narrative_id, page_index, scope, entity_type, island ORDER BY start_offset, end_offset DESC, entity_id) AS rn FROM i),
+    merged AS (
+        SELECT narrative_id, page_index, scope, entity_type, min(start_offset) AS start_offset, max(end_offset) AS end_offset, max(confidence) AS confidence, max(CASE WHEN rn = 1 THEN text END) AS text,
+            max(CASE WHEN rn = 1 THEN provider END) AS provider, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, count(*) AS members
+        FROM r GROUP BY narrative_id, page_index, scope, entity_type, island
+        UNION ALL SELECT narrative_id, page_index, scope, entity_type, start_offset, end_offset, confidence, text, provider, provider, CAST(1 AS BIGINT) FROM e WHERE start_offset IS NULL OR end_offset IS NULL)"""
+
+
+@query(f"WITH {_MERGED} SELECT * FROM merged")
+def pii_merge(spark: SparkSession, d: str) -> DataFrame:
+    return E.merge(entities(spark, d))
+
+
+@query(f"""WITH {_MERGED}
+    SELECT a.narrative_id, a.page_index, a.scope, a.entity_type AS left_type, b.entity_type AS right_type, a.start_offset AS left_start, b.start_offset AS right_start
+    FROM merged a JOIN merged b ON a.narrative_id = b.narrative_id AND a.page_index IS NOT DISTINCT FROM b.page_index AND a.scope IS NOT DISTINCT FROM b.scope
+      AND a.entity_type < b.entity_type AND a.start_offset < b.end_offset AND b.start_offset < a.end_offset""")
+def pii_cross_type(spark: SparkSession, d: str) -> DataFrame:
+    return E.crossing(cut(E.merge(entities(spark, d))))
+
+
+@query(f"""
+    WITH {_N}, {_E}, s AS (SELECT DISTINCT n.narrative_id, e.entity_type, e.start_offset, e.end_offset FROM e JOIN n USING (narrative_id) WHERE e.start_offset >= 0 AND e.end_offset > e.start_offset AND e.end_offset <= length(n.text)),
+    o AS (SELECT *, max(end_offset) OVER (PARTITION BY narrative_id ORDER BY start_offset, end_offset DESC, entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach <= start_offset THEN 1 ELSE 0 END) OVER (PARTITION BY narrative_id ORDER BY start_offset, end_offset DESC, entity_type ROWS UNBOUNDED PRECEDING) AS island FROM o),
+    g AS (SELECT narrative_id, island, min(start_offset) AS a, max(end_offset) AS b, arg_min(entity_type, (start_offset - end_offset, start_offset, entity_type)) AS t FROM i GROUP BY ALL),
+    l AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY narrative_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY narrative_id ORDER BY a) AS next FROM g)
+    SELECT n.narrative_id, coalesce(string_agg(substr(n.text, before + 1, a - before) || '[' || t || ']' || CASE WHEN next IS NULL THEN substr(n.text, b + 1) ELSE '' END, '' ORDER BY a), any_value(n.text)) AS redacted_text
+    FROM n LEFT JOIN l USING (narrative_id) WHERE n.text IS NOT NULL GROUP BY n.narrative_id""")
+def pii_redact_safe(spark: SparkSession, d: str) -> DataFrame:
+    return E.redact(narratives(spark, d), entities(spark, d).select("narrative_id", "entity_type", "start_offset", "end_offset"))
+
+
+@query(f"""WITH {_E} SELECT entity_id, entity_type, start_offset, end_offset, page_index, confidence, provider, detection_reason, can_map_to_image_coordinates, requires_review FROM e""")
+def pii_audit(spark: SparkSession, d: str) -> DataFrame:
+    return entities(spark, d).select("entity_id", "entity_type", "start_offset", "end_offset", "page_index", "confidence", "provider", "detection_reason", "can_map_to_image_coordinates", "requires_review")
+
+
+@query(f"WITH {_E} SELECT entity_type, provider, count(*) AS n, count(start_offset) AS located FROM e GROUP BY ROLLUP (entity_type, provider)")
+def pii_counts(spark: SparkSession, d: str) -> DataFrame:
+    return entities(spark, d).rollup("entity_type", "provider").agg(F.count("*").alias("n"), F.count("start_offset").alias("located"))
+
+
+_OFFSETS = f"{_W}, wo AS (SELECT *, CAST(coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY document_id, page_index ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM w)"
+_PAGES_SQL = f"{_W}, pt AS (SELECT document_id, page_index, string_agg(coalesce(text, ''), ' ' ORDER BY ord) AS text, count(*) AS n_words FROM w GROUP BY ALL)"
+_PAGE_CONTACTS = _spans_sql("pt", "document_id, page_index", _CONTACT)
+
+
+@query(f"WITH {_OFFSETS} SELECT word_key, s AS start_offset, s + length(coalesce(text, '')) AS end_offset FROM wo")
+def word_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return E.word_offsets(words(spark, d)).select("word_key", "start_offset", "end_offset")
+
+
+@query(f"""
+    WITH {_OFFSETS}, pt AS (SELECT document_id, page_index, string_agg(coalesce(text, ''), ' ' ORDER BY ord) AS text FROM w GROUP BY ALL), {_PAGE_CONTACTS},
+    f AS (SELECT document_id, page_index, entity_type, stop - length(val) AS a, stop AS b FROM placed)
+    SELECT f.document_id, f.page_index, f.entity_type, f.a AS start_offset, min(wo.bbox.x0) AS x0, min(wo.bbox.y0) AS y0, max(wo.bbox.x1) AS x1, max(wo.bbox.y1) AS y1, min(wo.bbox.x0) IS NOT NULL AS mapped
+    FROM f JOIN wo ON wo.document_id = f.document_id AND wo.page_index = f.page_index AND wo.s < f.b AND wo.s + length(coalesce(wo.text, '')) > f.a GROUP BY ALL""")
+def pii_bbox(spark: SparkSession, d: str) -> DataFrame:
+    w = cut(words(spark, d).select("word_key", "document_id", "page_index", "ord", "text", "bbox"))
+    texts = D.page_text(w).withColumn("page", F.struct("document_id", "page_index"))
+    found = R.detect(texts, "page", scope="page", recognizers=_CONTACT).select("page.*", "entity_type", F.col("start_offset").cast("bigint").alias("start_offset"), F.col("end_offset").cast("bigint").alias("end_offset"))
+    found = cut(found.withColumn("entity_id", F.xxhash64("document_id", "page_index", "entity_type", "start_offset")))
+    return found.join(E.boxes(found, E.word_offsets(w)), "entity_id").drop("entity_id", "end_offset")
+
+
+# --- documents ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PAGES_SQL} SELECT * FROM pt")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return D.page_text(words(spark, d))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT document_id, string_agg(text, ' ' ORDER BY page_index) AS text FROM pt GROUP BY document_id")
+def document_text(spark: SparkSession, d: str) -> DataFrame:
+    return D.document_text(D.page_text(words(spark, d)))
+
+
+@query(f"WITH {_W} SELECT document_id, round(avg(confidence), 6) AS avg_confidence FROM w GROUP BY document_id")
+def avg_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return D.confidence(words(spark, d)).select("document_id", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query(f"""WITH {_P} SELECT document_id, CASE WHEN count(*) FILTER (WHERE NOT coalesce(has_text, false)) = 0 THEN 'native' WHEN count(*) FILTER (WHERE coalesce(has_text, false)) = 0 THEN 'ocr' ELSE 'mixed' END AS route,
+    count(*) FILTER (WHERE coalesce(has_text, false)) AS n_native, count(*) FILTER (WHERE NOT coalesce(has_text, false)) AS n_ocr FROM p GROUP BY document_id""")
+def route_pages(spark: SparkSession, d: str) -> DataFrame:
+    return D.route(pages(spark, d))
+
+
+@query(f"""WITH {_W}, a AS (SELECT word_key, unnest(alternatives) AS x, generate_subscripts(alternatives, 1) AS i FROM w), c AS (SELECT word_key, x.provider AS provider, x.text AS text, i FROM a WHERE x.text <> '')
+    SELECT word_key, arg_min(provider, i) AS provider, arg_min(text, i) AS text FROM c GROUP BY word_key""")
+def chain_first_success(spark: SparkSession, d: str) -> DataFrame:
+    a = D.alternatives(words(spark, d)).withColumn("ok", F.col("text") != "")
+    return D.first_success(a, ("word_key",), "alt_ord", "ok").select("word_key", "provider", "text")
+
+
+_RECONCILE = f"""{_W}, a AS (SELECT word_key, document_id, page_index, unnest(alternatives) AS x, generate_subscripts(alternatives, 1) - 1 AS alt_ord FROM w),
+    h AS (SELECT a.word_key, a.alt_ord, b.word_key AS base_key, b.ord, b.text AS base_text, (least(x.bbox.x1, b.bbox.x1) - greatest(x.bbox.x0, b.bbox.x0)) * (least(x.bbox.y1, b.bbox.y1) - greatest(x.bbox.y0, b.bbox.y0)) AS area
+        FROM a JOIN w b ON a.document_id = b.document_id AND a.page_index = b.page_index AND least(x.bbox.x1, b.bbox.x1) > greatest(x.bbox.x0, b.bbox.x0) AND least(x.bbox.y1, b.bbox.y1) > greatest(x.bbox.y0, b.bbox.y0)
+        WHERE x.bbox IS NOT NULL AND b.bbox IS NOT NULL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word_key, alt_ord ORDER BY area DESC, ord, base_key) AS r FROM h) WHERE r = 1)"""
+
+
+@query(f"WITH {_RECONCILE} SELECT word_key, CAST(alt_ord AS INT) AS alt_ord, base_key, area, base_text FROM best")
+def reconcile_best(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d)
+    return D.best_overlap(w, D.alternatives(w))
+
+
+@query(f"""WITH {_RECONCILE} SELECT a.word_key, CAST(a.alt_ord AS INT) AS alt_ord, x.provider AS provider,
+    CASE WHEN x.bbox IS NULL THEN 'NO_BBOX' WHEN b.base_key IS NULL THEN 'NO_OVERLAP'
+      WHEN lower(regexp_replace(coalesce(x.text, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) <> lower(regexp_replace(coalesce(b.base_text, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) THEN 'CONFLICT' ELSE 'AGREES' END AS outcome
+    FROM a LEFT JOIN best b ON a.word_key = b.word_key AND a.alt_ord = b.alt_ord""")
+def reconcile_warnings(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d)
+    return D.reconcile(w, D.alternatives(w))
+
+
+@query(f"""WITH {_W}, {_P}, c AS (SELECT w.document_id, w.page_index, CAST(least(greatest(floor((w.bbox.y0 + w.bbox.y1) / 2 * 4 / p.height), 0), 3) AS INT) AS band, count(*) AS n FROM w JOIN p USING (document_id, page_index) WHERE w.bbox IS NOT NULL AND p.height > 0 GROUP BY ALL)
+    SELECT p.document_id, p.page_index, b.band, coalesce(c.n, 0) AS n_words FROM p CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS band) b LEFT JOIN c ON c.document_id = p.document_id AND c.page_index = p.page_index AND c.band = b.band""")
+def density_bands(spark: SparkSession, d: str) -> DataFrame:
+    return D.density_bands(words(spark, d), pages(spark, d))
+
+
+@query(f"""WITH {_W}, {_P}, c AS (SELECT w.document_id, w.page_index, p.width, p.height, count(*) AS boxed,
+        count(*) FILTER (WHERE w.bbox.x1 >= 0.05 * p.width AND w.bbox.x0 <= 0.95 * p.width AND w.bbox.y1 >= 0.1 * p.height AND w.bbox.y0 <= 0.5 * p.height) AS hits FROM w JOIN p USING (document_id, page_index) WHERE w.bbox IS NOT NULL GROUP BY ALL)
+    SELECT p.document_id, p.page_index, round(coalesce(c.hits / ((0.95 - 0.05) * (0.5 - 0.1) * c.width * c.height) / c.boxed * 100, 0), 6) AS density FROM p LEFT JOIN c USING (document_id, page_index)""")
+def text_density(spark: SparkSession, d: str) -> DataFrame:
+    return D.text_density(words(spark, d), (0.05, 0.1, 0.95, 0.5), pages(spark, d)).withColumn("density", F.round("density", 6))
+
+
+# --- templates ---------------------------------------------------------------------------------
+
+
+def _document_texts(spark: SparkSession, d: str) -> DataFrame:
+    w = cut(words(spark, d).select("document_id", "page_index", "ord", "text", "confidence"))
+    counts = pages(spark, d).groupBy("document_id").agg(F.count("*").cast("int").alias("n_pages"))
+    return D.document_text(D.page_text(w)).join(counts, "document_id", "left").join(D.confidence(w), "document_id", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "templates").select("template_id", F.explode("anchors").alias("anchor"))
+
+
+_TEXTS_SQL = f"""{_W}, {_P}, pt AS (SELECT document_id, page_index, string_agg(coalesce(text, ''), ' ' ORDER BY ord) AS text FROM w GROUP BY ALL),
+    dt AS (SELECT document_id, string_agg(text, ' ' ORDER BY page_index) AS text FROM pt GROUP BY document_id)"""
+_EXACT_SQL = f"""{_TEXTS_SQL}, an AS (SELECT template_id, unnest(anchors) AS anchor FROM templates),
+    hit AS (SELECT document_id, template_id, anchor, strpos(lower(text), lower(anchor)) - 1 AS off FROM dt CROSS JOIN an)"""
+
+
+@query(f"WITH {_EXACT_SQL} SELECT document_id, template_id, anchor, CAST(CASE WHEN off >= 0 THEN off ELSE -1 END AS INT) AS offset_, off >= 0 AS found FROM hit")
+def anchor_exact(spark: SparkSession, d: str) -> DataFrame:
+    found = T.find_anchors(_document_texts(spark, d), _anchors(spark, d), "document_id", fuzzy=False)
+    return found.select("document_id", "template_id", "anchor", F.col("offset").alias("offset_"), (F.col("method") == "exact").alias("found"))
+
+
+@query(f"""WITH {_EXACT_SQL} SELECT document_id, template_id, count(*) AS anchors, count(*) FILTER (WHERE off >= 0) AS exact_, count(*) FILTER (WHERE off >= 0) / count(*) AS coverage FROM hit GROUP BY ALL""")
+def anchor_coverage(spark: SparkSession, d: str) -> DataFrame:
+    found = T.find_anchors(_document_texts(spark, d), _anchors(spark, d), "document_id", fuzzy=False)
+    return T.coverage(found, "document_id").select("document_id", "template_id", "anchors", F.col("exact").alias("exact_"), "coverage")
+
+
+@query()
+def anchor_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return T.find_anchors(_document_texts(spark, d), _anchors(spark, d), "document_id")
+
+
+_SCORES_SQL = f"""{_EXACT_SQL}, cov AS (SELECT document_id, template_id, count(*) FILTER (WHERE off >= 0) / count(*) AS c FROM hit GROUP BY ALL),
+    np AS (SELECT document_id, count(*) AS n_pages FROM p GROUP BY ALL), ac AS (SELECT document_id, avg(confidence) AS avg_confidence FROM w GROUP BY ALL),
+    sc AS (SELECT d.document_id, t.template_id, t.pos, CASE WHEN t.form_number_regex IS NOT NULL AND regexp_matches(d.text, '(?i)' || t.form_number_regex) THEN regexp_extract(d.text, '(?i)' || t.form_number_regex, 0) END AS form_number,
+        cov.c, t.form_number_regex AS rx, coalesce(np.n_pages, 0) AS n_pages, t.page_count_min AS lo, t.page_count_max AS hi, ac.avg_confidence AS conf
+        FROM dt d CROSS JOIN templates t JOIN cov ON cov.document_id = d.document_id AND cov.template_id = t.template_id LEFT JOIN np ON np.document_id = d.document_id LEFT JOIN ac ON ac.document_id = d.document_id),
+    scores AS (SELECT document_id, template_id, pos, form_number, round(CASE WHEN n_pages < lo OR n_pages > hi THEN 0.0 ELSE (CASE WHEN rx IS NOT NULL THEN 0.7 * c + 0.3 * (CASE WHEN form_number IS NULL THEN 0.0 ELSE 1.0 END) ELSE c END) * (CASE WHEN conf < 0.5 THEN 0.8 ELSE 1.0 END) END, 4) AS confidence FROM sc)"""
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    texts = cut(_document_texts(spark, d))
+    cover = T.coverage(T.find_anchors(texts, _anchors(spark, d), "document_id", fuzzy=False), "document_id")
+    return T.score(texts, cover, table(spark, d, "templates"), "document_id")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT document_id, template_id, pos, form_number, CAST(confidence AS DOUBLE) AS confidence FROM scores")
+def template_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+@query(f"""WITH {_SCORES_SQL} SELECT document_id, CASE WHEN confidence >= 0.85 THEN template_id ELSE 'UNKNOWN' END AS template_id, CAST(confidence AS DOUBLE) AS confidence
+    FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, pos) AS r FROM scores) WHERE r = 1""")
+def template_detect(spark: SparkSession, d: str) -> DataFrame:
+    return T.detect(_scores(spark, d), "document_id")
+
+
+@query("SELECT template_id, version FROM templates WHERE upper(trim(coalesce(jurisdiction, ''))) IN ('QN', 'KQ')")
+def template_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "templates").where(F.upper(F.trim(F.coalesce("jurisdiction", F.lit("")))).isin("QN", "KQ")).select("template_id", "version")
+
+
+@query(f"""WITH {_N}, s AS (SELECT narrative_id, text, anchor_start, anchor_end, strpos(lower(text), lower(anchor_end)) - 1 AS e FROM n WHERE text IS NOT NULL)
+    SELECT narrative_id, CAST(CASE WHEN anchor_end IS NOT NULL AND e >= 0 THEN e ELSE length(text) END AS INT) AS end_offset, coalesce(anchor_end IS NOT NULL AND e >= 0, false) AS end_found FROM s""")
+def anchor_span(spark: SparkSession, d: str) -> DataFrame:
+    n = narratives(spark, d).where("text is not null")
+    span = T.between(F.col("text"), F.lit(None).cast("string"), F.col("anchor_end"))
+    return n.select("narrative_id", span.alias("s")).select("narrative_id", F.col("s.end_offset").cast("int").alias("end_offset"), F.col("s.end_found").alias("end_found"))
+
+
+# --- regions, review, files --------------------------------------------------------------------
+
+_REGION_SQL = f"""{_PAGES_SQL}, sections AS (SELECT pt.document_id, pt.page_index, pt.text, t.template_id, t.regions['narrative'].anchor_start AS a, t.regions['narrative'].anchor_end AS b FROM pt CROSS JOIN templates t),
+    sp AS (SELECT *, coalesce(strpos(lower(text), lower(a)) > 0, false) AS fa, coalesce(strpos(lower(text), lower(b)) > 0, false) AS fb FROM sections),
+    ps AS (SELECT document_id, page_index, template_id, CAST(CASE WHEN a IS NULL AND b IS NULL THEN 0.3 WHEN b IS NULL THEN (CASE WHEN fa THEN 0.9 ELSE 0 END) WHEN a IS NULL THEN (CASE WHEN fb THEN 0.5 ELSE 0 END) WHEN fa AND fb THEN 1.0 WHEN fa THEN 0.7 WHEN fb THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM sp)"""
+
+
+def _page_scores(spark: SparkSession, d: str) -> DataFrame:
+    return G.page_scores(D.page_text(words(spark, d)), G.narrative_regions(table(spark, d, "templates")))
+
+
+@query(f"WITH {_REGION_SQL} SELECT * FROM ps")
+def page_score(spark: SparkSession, d: str) -> DataFrame:
+    return _page_scores(spark, d)
+
+
+@query(f"""WITH {_REGION_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id, template_id ORDER BY score DESC, page_index) AS rn, lead(score) OVER (PARTITION BY document_id, template_id ORDER BY score DESC, page_index) AS next FROM ps)
+    SELECT document_id, template_id, page_index, score, score >= 0.7 AND coalesce(next = score, false) AS ambiguous FROM r WHERE rn = 1 AND score > 0""")
+def narrative_primary(spark: SparkSession, d: str) -> DataFrame:
+    return G.primary(_page_scores(spark, d))
+
+
+@query(f"""WITH {_REGION_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id, template_id ORDER BY score DESC, page_index) AS rn FROM ps),
+    pr AS (SELECT document_id, template_id, page_index AS first FROM r WHERE rn = 1 AND score > 0),
+    c AS (SELECT pr.document_id, pr.template_id, pr.first, pt.page_index, pt.text, t.regions['narrative'].anchor_start AS a, t.regions['narrative'].anchor_end AS b, row_number() OVER (PARTITION BY pr.document_id, pr.template_id ORDER BY pt.page_index) - 1 AS k
+        FROM pr JOIN pt ON pt.document_id = pr.document_id AND pt.page_index >= pr.first JOIN templates t ON t.template_id = pr.template_id),
+    m AS (SELECT *, CASE WHEN k = 0 AND strpos(lower(text), lower(a)) > 0 THEN strpos(lower(text), lower(a)) - 1 + length(a) ELSE 0 END AS begin_ FROM c WHERE k <= 3),
+    x AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE strpos(substr(lower(text), CAST(begin_ AS BIGINT) + 1), lower(b)) END AS hit FROM m),
+    s AS (SELECT document_id, template_id, min(k) FILTER (WHERE hit > 0) AS stop FROM x GROUP BY ALL),
+    y AS (SELECT x.*, s.stop FROM x JOIN s USING (document_id, template_id) WHERE b IS NOT NULL AND x.k <= coalesce(s.stop, 3) OR b IS NULL AND x.k = 0)
+    SELECT document_id, template_id, CAST(count(*) AS BIGINT) AS pages, bool_or(hit > 0) AS end_found, CAST(sum(CASE WHEN hit > 0 THEN hit - 1 ELSE length(text) - begin_ END) AS BIGINT) AS chars FROM y GROUP BY ALL""")
+def narrative_continuation(spark: SparkSession, d: str) -> DataFrame:
+    p = cut(D.page_text(words(spark, d)))
+    regions = G.narrative_regions(table(spark, d, "templates"))
+    return G.continuation(p, regions, G.primary(G.page_scores(p, regions)))
+
+
+_TEMPLATE_BOXES = "SELECT template_id, unnest(map_keys(regions)) AS region, unnest(map_values(regions)) AS r FROM templates"
+
+
+@query(f"""WITH {_P}, b AS ({_TEMPLATE_BOXES}) SELECT p.document_id, p.page_index, b.template_id, b.region, CAST(greatest(0, least(floor(r.bbox_norm.x0 * p.width), p.width)) AS INT) AS x0, CAST(greatest(0, least(floor(r.bbox_norm.y0 * p.height), p.height)) AS INT) AS y0,
+    CAST(greatest(0, least(floor(r.bbox_norm.x1 * p.width), p.width)) AS INT) AS x1, CAST(greatest(0, least(floor(r.bbox_norm.y1 * p.height), p.height)) AS INT) AS y1 FROM p CROSS JOIN b""")
+def bbox_convert(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "templates").select("template_id", F.explode("regions").alias("region", "r"))
+    joined = pages(spark, d).join(F.broadcast(b), F.lit(True))
+    return joined.select("document_id", "page_index", "template_id", "region", D.to_pixels(F.col("r.bbox_norm"), F.col("width"), F.col("height")).alias("b")).select("document_id", "page_index", "template_id", "region", "b.*")
+
+
+_GATE_SQL = f"""{_N}, {_E}, u AS (SELECT narrative_id, count(*) AS entities, count(*) FILTER (WHERE NOT coalesce(can_map_to_image_coordinates, false) OR bbox IS NULL) AS unmapped FROM e GROUP BY ALL),
+    f AS (SELECT n.narrative_id, n.document_id, coalesce(u.entities, 0) AS entities, coalesce(u.unmapped, 0) AS unmapped, n.confidence, coalesce(n.requires_review, false) AS rr,
+        list_sort(list_distinct(list_concat(coalesce(list_filter(n.warnings, lambda x: x IS NOT NULL), CAST([] AS VARCHAR[])), CASE WHEN u.unmapped > 0 THEN ['PII_UNMAPPED'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN n.text IS NULL OR n.text = '' THEN ['NARRATIVE_EMPTY'] ELSE CAST([] AS VARCHAR[]) END))) AS flags
+        FROM n LEFT JOIN u USING (narrative_id))"""
+_BLOCKING_SQL = ", ".join(f"'{x}'" for x in Q.BLOCKING)
+
+
+@query(f"""WITH {_GATE_SQL} SELECT narrative_id, array_to_string(flags, ',') AS qa_flags, list_has_any(flags, [{_BLOCKING_SQL}]) OR rr AS export_blocked,
+    CASE WHEN list_has_any(flags, [{_BLOCKING_SQL}]) OR rr THEN 'BLOCK' ELSE 'ALLOW' END AS export_decision, entities AS pii_entity_count, unmapped AS pii_unmapped_count FROM f""")
+def qa_gate(spark: SparkSession, d: str) -> DataFrame:
+    return Q.gate(narratives(spark, d), entities(spark, d))
+
+
+@query("SELECT path, arg_max(sha256, (discovered_at, document_id, size_bytes)) AS sha256, max(discovered_at) AS discovered_at, count(DISTINCT discovered_at) AS scans FROM files GROUP BY path")
+def files_latest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").groupBy("path").agg(F.max_by("sha256", F.struct("discovered_at", "document_id", "size_bytes")).alias("sha256"), F.max("discovered_at").alias("discovered_at"), F.countDistinct("discovered_at").alias("scans"))
+
+
+@query("SELECT path, lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS suffix, lower(regexp_extract(name, '(\\.[^.]+)$', 1)) IN ('.pdf', '.png', '.jpg', '.jpeg', '.tif', '.tiff') AS supported, CASE WHEN lower(regexp_extract(name, '(\\.[^.]+)$', 1)) = '.pdf' THEN 'pdf' WHEN lower(regexp_extract(name, '(\\.[^.]+)$', 1)) IN ('.png', '.jpg', '.jpeg', '.tif', '.tiff') THEN 'image' ELSE 'unknown' END AS kind FROM (SELECT DISTINCT path, name FROM files)")
+def files_supported(spark: SparkSession, d: str) -> DataFrame:
+    from docsieve.sources.files import kind, suffix
+
+    f = table(spark, d, "files").select("path", "name").distinct()
+    s = suffix(F.col("name"))
+    return f.select("path", s.alias("suffix"), (kind(s) != "unknown").alias("supported"), kind(s).alias("kind"))
+
+
+@query(f"WITH {_N}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_index ORDER BY extracted_at DESC NULLS LAST, narrative_id DESC) AS rn FROM n) SELECT document_id, page_index, narrative_id, extracted_at FROM r WHERE rn = 1")
+def latest_extraction(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("document_id", "page_index").orderBy(F.col("extracted_at").desc_nulls_last(), F.desc("narrative_id"))
+    return narratives(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("document_id", "page_index", "narrative_id", "extracted_at")
+
+
+@query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM (SELECT DISTINCT path, source FROM files) GROUP BY ALL")
+def license_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").select("path", "source").distinct().groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+
+
+@query()
+def pii_eval(spark: SparkSession, d: str) -> DataFrame:
+    n = narratives(spark, d).select("narrative_id", "text")
+    gold = entities(spark, d).where("start_offset is not null and end_offset > start_offset").select("narrative_id", "entity_type", "start_offset", "end_offset").distinct()
+    return V.f1(R.detect(n, "narrative_id"), gold, "narrative_id")
