@@ -380,7 +380,7 @@ def narrative_primary(spark: SparkSession, d: str) -> DataFrame:
     m AS (SELECT *, CASE WHEN k = 0 AND strpos(lower(text), lower(a)) > 0 THEN strpos(lower(text), lower(a)) - 1 + length(a) ELSE 0 END AS begin_ FROM c WHERE k <= 3),
     x AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE strpos(substr(lower(text), CAST(begin_ AS BIGINT) + 1), lower(b)) END AS hit FROM m),
     s AS (SELECT document_id, template_id, min(k) FILTER (WHERE hit > 0) AS stop FROM x GROUP BY ALL),
-    y AS (SELECT x.*, s.stop FROM x JOIN s USING (document_id, template_id) WHERE b IS NOT NULL AND x.k <= coalesce(s.stop, 3) OR b IS NULL AND x.k = 0)
+    y AS (SELECT x.*, s.stop FROM x JOIN s USING (document_id, template_id) WHERE x.k <= CASE WHEN b IS NULL THEN 0 ELSE coalesce(s.stop, 3) END)
     SELECT document_id, template_id, CAST(count(*) AS BIGINT) AS pages, bool_or(hit > 0) AS end_found, CAST(sum(CASE WHEN hit > 0 THEN hit - 1 ELSE length(text) - begin_ END) AS BIGINT) AS chars FROM y GROUP BY ALL""")
 def narrative_continuation(spark: SparkSession, d: str) -> DataFrame:
     p = cut(D.page_text(words(spark, d)))
