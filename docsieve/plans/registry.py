@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsieve.functions.spans import spans
 from docsieve.operators import documents as D
 from docsieve.operators import entities as E
 from docsieve.operators import evaluation as V
@@ -16,6 +17,8 @@ from docsieve.operators import regions as G
 from docsieve.operators import review as Q
 from docsieve.operators import templates as T
 from docsieve.session import cut, once, table
+from docsieve.sources import providers as P
+from docsieve.sources.sinks import manifests, report_id
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -375,12 +378,13 @@ def narrative_primary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_REGION_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id, template_id ORDER BY score DESC, page_index) AS rn FROM ps),
     pr AS (SELECT document_id, template_id, page_index AS first FROM r WHERE rn = 1 AND score > 0),
-    c AS (SELECT pr.document_id, pr.template_id, pr.first, pt.page_index, pt.text, t.regions['narrative'].anchor_start AS a, t.regions['narrative'].anchor_end AS b, row_number() OVER (PARTITION BY pr.document_id, pr.template_id ORDER BY pt.page_index) - 1 AS k
+    c AS (SELECT pr.document_id, pr.template_id, pr.first, pt.page_index, pt.text, t.regions['narrative'].anchor_start AS a, coalesce(t.regions['narrative'].anchor_end, '') AS b, row_number() OVER (PARTITION BY pr.document_id, pr.template_id ORDER BY pt.page_index) - 1 AS k
         FROM pr JOIN pt ON pt.document_id = pr.document_id AND pt.page_index >= pr.first JOIN templates t ON t.template_id = pr.template_id),
     m AS (SELECT *, CASE WHEN k = 0 AND strpos(lower(text), lower(a)) > 0 THEN strpos(lower(text), lower(a)) - 1 + length(a) ELSE 0 END AS begin_ FROM c WHERE k <= 3),
-    x AS (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE strpos(substr(lower(text), CAST(begin_ AS BIGINT) + 1), lower(b)) END AS hit FROM m),
+    x AS (SELECT *, CASE WHEN b = '' THEN 0 ELSE strpos(substr(lower(text), CAST(begin_ AS BIGINT) + 1), lower(b)) END AS hit FROM m),
     s AS (SELECT document_id, template_id, min(k) FILTER (WHERE hit > 0) AS stop FROM x GROUP BY ALL),
-    y AS (SELECT x.*, s.stop FROM x JOIN s USING (document_id, template_id) WHERE x.k <= CASE WHEN b IS NULL THEN 0 ELSE coalesce(s.stop, 3) END)
+    y AS (SELECT document_id, template_id, hit, text, begin_ FROM x WHERE b = '' AND k = 0
+        UNION ALL SELECT x.document_id, x.template_id, x.hit, x.text, x.begin_ FROM x JOIN s ON x.document_id = s.document_id AND x.template_id = s.template_id WHERE x.b <> '' AND x.k <= coalesce(s.stop, 3))
     SELECT document_id, template_id, CAST(count(*) AS BIGINT) AS pages, bool_or(hit > 0) AS end_found, CAST(sum(CASE WHEN hit > 0 THEN hit - 1 ELSE length(text) - begin_ END) AS BIGINT) AS chars FROM y GROUP BY ALL""")
 def narrative_continuation(spark: SparkSession, d: str) -> DataFrame:
     p = cut(D.page_text(words(spark, d)))
@@ -437,6 +441,67 @@ def license_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").select("path", "source").distinct().groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
 
 
+_MOCK_SQL = _spans_sql("n", "narrative_id", tuple(R.Recognizer(t, r, 0.9, 0, p) for t, p, r in P.MOCK))
+
+
+@query(f"WITH {_N}, {_MOCK_SQL} SELECT narrative_id, entity_type, CAST(stop - length(val) AS INT) AS start_offset, CAST(stop AS INT) AS end_offset, confidence FROM placed")
+def pii_mock(spark: SparkSession, d: str) -> DataFrame:
+    return P.mock_pii(narratives(spark, d).select("narrative_id", "text"), "narrative_id").select("narrative_id", "entity_type", "start_offset", "end_offset", "confidence")
+
+
+@query(f"""WITH {_P}, t AS (SELECT CAST(unnest([0, 1]) AS INT) AS ord, unnest(['MOCK', 'REPORT']) AS text) SELECT document_id, page_index, ord, 'p' || page_index || '_w' || lpad(CAST(ord AS VARCHAR), 5, '0') AS word_id, text, ord * 60.0::DOUBLE AS x0, ord * 60.0::DOUBLE + 50 AS x1 FROM p CROSS JOIN t""")
+def ocr_mock(spark: SparkSession, d: str) -> DataFrame:
+    return P.mock_ocr(spark, pages(spark, d)).select("document_id", "page_index", "ord", "word_id", "text", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"))
+
+
+@query(f"""WITH {_N}, k AS (SELECT narrative_id, generate_subscripts(s, 1) AS i, unnest(s) AS gap FROM (SELECT narrative_id, string_split_regex(text, '[^ \n\t\r]+') AS s FROM n WHERE text <> '')),
+    w AS (SELECT narrative_id, generate_subscripts(s, 1) AS i, unnest(s) AS tok FROM (SELECT narrative_id, regexp_extract_all(text, '[^ \n\t\r]+') AS s FROM n WHERE text <> ''))
+    SELECT w.narrative_id, count(*) AS tokens, CAST(sum(length(w.tok)) AS BIGINT) AS chars, CAST(max(length(w.tok)) AS INT) AS longest FROM w GROUP BY ALL""")
+def token_spans(spark: SparkSession, d: str) -> DataFrame:
+    s = narratives(spark, d).where("text <> ''").select("narrative_id", F.explode(spans(F.col("text"), r"[^ \n\t\r]+")).alias("t"))
+    return s.groupBy("narrative_id").agg(F.count("*").alias("tokens"), F.sum(F.col("t.end") - F.col("t.start")).cast("bigint").alias("chars"), F.max(F.length("t.value")).alias("longest"))
+
+
+@query(f"""WITH {_REGION_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id, template_id ORDER BY score DESC, page_index) AS rn FROM ps),
+    pr AS (SELECT document_id, template_id FROM r WHERE rn = 1 AND score >= 0.7), o AS (SELECT ps.* FROM ps ANTI JOIN pr USING (document_id, template_id) WHERE score >= 0.5)
+    SELECT document_id, page_index, template_id, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, template_id ORDER BY score DESC, page_index) AS rn FROM o) WHERE rn = 1""")
+def narrative_shifted(spark: SparkSession, d: str) -> DataFrame:
+    scores = cut(_page_scores(spark, d))
+    sure = G.primary(scores).where("score >= 0.7")
+    return G.shifted(scores, sure)
+
+
+@query(f"""WITH {_GATE_SQL} SELECT substr(sha256(CAST(narrative_id AS VARCHAR)), 1, 16) AS report_id, narrative_id, array_to_string(flags, ',') AS qa_flags, NOT (list_has_any(flags, [{_BLOCKING_SQL}]) OR rr) AS exported FROM f""")
+def report_view(spark: SparkSession, d: str) -> DataFrame:
+    g = Q.gate(narratives(spark, d), entities(spark, d))
+    return g.select(report_id(F.sha2(F.col("narrative_id").cast("string"), 256)).alias("report_id"), "narrative_id", "qa_flags", (~F.col("export_blocked")).alias("exported"))
+
+
+@query()
+def export_manifests(spark: SparkSession, d: str) -> DataFrame:
+    g = Q.gate(narratives(spark, d), entities(spark, d))
+    return manifests(g.select(F.sha2(F.col("narrative_id").cast("string"), 256).alias("sha256"), F.lit("UNKNOWN").alias("template_id"), "export_decision", "qa_flags"))
+
+
+@query(f"""WITH {_N}, x AS (SELECT n.narrative_id, unnest(n.warnings) AS code, generate_subscripts(n.warnings, 1) AS i FROM n WHERE n.warnings IS NOT NULL)
+    SELECT narrative_id, code, CAST(min(i) - 1 AS INT) AS first_at FROM x WHERE code IS NOT NULL GROUP BY ALL""")
+def warnings_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    x = narratives(spark, d).select("narrative_id", F.posexplode("warnings").alias("i", "code"))
+    return x.where("code is not null").groupBy("narrative_id", "code").agg(F.min("i").alias("first_at"))
+
+
+@query(f"""WITH {_N} SELECT DISTINCT a.narrative_id FROM n a JOIN (SELECT DISTINCT ON (entity_id) narrative_id FROM entities WHERE requires_review) r ON a.narrative_id = r.narrative_id""")
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return narratives(spark, d).select("narrative_id").join(entities(spark, d).where("requires_review"), "narrative_id", "left_semi")
+
+
+@query(f"""WITH {_N}, d AS (SELECT narrative_id, page_index, anchor_start_found AS s, anchor_end_found AS e, coalesce(text, '') = '' AS empty_, anchor_start, anchor_end FROM n)
+    SELECT narrative_id, CAST(CASE WHEN empty_ THEN 0.0 WHEN anchor_start IS NULL AND anchor_end IS NULL THEN 0.3 WHEN anchor_start IS NOT NULL AND anchor_end IS NOT NULL AND s AND e THEN 0.9
+        WHEN (anchor_start IS NULL OR anchor_end IS NULL) AND (coalesce(s, false) OR coalesce(e, false)) THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence FROM d""")
+def narrative_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return narratives(spark, d).select("narrative_id", G.confidence("text", "anchor_start", "anchor_end", "anchor_start_found", "anchor_end_found").alias("confidence"))
+
+
 @query()
 def pii_eval(spark: SparkSession, d: str) -> DataFrame:
     n = narratives(spark, d).select("narrative_id", "text")
