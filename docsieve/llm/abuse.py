@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 from docsieve.llm import linear, passages
 
 BUCKETS = 1 << 18
-#: Bound of the corpus sentences taken as background, and the stage-one score above which one is not taken to be harmless.
-BACKGROUND, DOUBTFUL = 8000, 0.2
+#: Bound of the corpus sentences taken as background, and the scores from which one is not taken to be harmless: by the labelled table alone, and by the model with background.
+BACKGROUND, CERTAIN, DOUBTFUL = 8000, 0.95, 0.2
 #: Tokens of a passage that is scored, and its step.
 WINDOW, STEP = 14, 4
 THRESHOLD = 0.5
+#: The fixed bias of the model: a passage without evidence is harmless.
+BIAS = -2.0
 
 _LEET = str.maketrans("@431!0$57|€", "aaeiiosstie")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_] ){2,}[^\W_](?!\w)")
-_TOKEN = re.compile(r"[^\W_]+(?:[*#$@!|€][^\s,.;:?\"')]*|(?:['’][^\W_]+))*|[*]{2,}|[.!?;:\n]")
+_TOKEN = re.compile(r"[^\W_]*(?:[$@](?=[^\W_]))?[^\W_]+(?:[*#$@|€][^\s,.;:?!\"')]*|!(?=[^\W_])[^\s,.;:?\"')]*|(?:['’][^\W_]+))*|[*]{2,}|[.!?;:\n]")
 _STARS = re.compile(r"^\w?[*#]{2,}\w?$|^\w[*#]+\w*$")
 _RUN = re.compile(r"([^\W\d_])\1+")
 BREAK = "|"
@@ -75,7 +77,7 @@ def grams(h: np.ndarray) -> np.ndarray:
 
 
 def features(text: str) -> list[int]:
-    return grams(_hashes([w for w in words(text) if w])).ravel().tolist() + [0]
+    return grams(_hashes([w for w in words(text) if w])).ravel().tolist()
 
 
 def disguise(text: str, rnd: random.Random) -> str:
@@ -97,7 +99,7 @@ def disguise(text: str, rnd: random.Random) -> str:
 
 
 def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5) -> np.ndarray:
-    """Weights from labelled passages and background sentences; those a first model finds doubtful are left out of the second."""
+    """Weights from labelled passages and background sentences; those that earlier rounds find doubtful are left out of the last."""
     rnd = random.Random(seed)
     rows = [*reviewed * 3, *passages.labelled()]
     rows += [(disguise(t, rnd), y) for t, y in rows if y and rnd.random() < 0.6]
@@ -107,13 +109,14 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
     for t in background:  # parts of sentences too, as windows cut them
         tokens = words(t)
         at = rnd.randrange(max(1, len(tokens) - 3))
-        back.append(grams(_hashes(tokens[at : at + rnd.randrange(2, WINDOW)])).ravel().tolist() + [0])
-    good = back
-    for epochs in (3, 5):
-        index, values = linear.ftrl(x + good, y + [0.0] * len(good), BUCKETS, epochs=epochs)
+        back.append(grams(_hashes(tokens[at : at + rnd.randrange(2, WINDOW)])).ravel().tolist())
+    good: list[list[int]] = []
+    for epochs, doubtful in ((3, CERTAIN), (3, DOUBTFUL), (5, 0.0)):
+        index, values = linear.ftrl(x + good, y + [0.0] * len(good), BUCKETS, epochs=epochs, offset=BIAS)
         w = np.zeros(BUCKETS)
         w[index] = values
-        good = [b for b, p in zip(back, linear.sigmoid(linear.margins(w, *linear.pack(back))) if back else ()) if p < DOUBTFUL]
+        if back and doubtful:
+            good = [b for b, p in zip(back, linear.sigmoid(linear.margins(w, *linear.pack(back)) + BIAS)) if p < doubtful]
     return w.astype(np.float32)
 
 
@@ -130,7 +133,7 @@ def worst(text: str, w: np.ndarray) -> float:
     breaks = np.array([0, *[i + 1 for i, t in enumerate(tokens) if t == BREAK], n])
     if len(breaks) > 2:
         best = max(best, (total[breaks[1:]] - total[breaks[:-1]]).max())
-    return float(linear.sigmoid(np.array(best + w[0])))
+    return float(linear.sigmoid(np.array(best + BIAS)))
 
 
 def score(documents: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -47,10 +47,10 @@ def fit(rows: list[list[int]], labels: list[float], size: int, epochs: int = 60,
     return w
 
 
-def ftrl(rows: list[list[int]], labels: list[float], size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, epochs: int = 8, weights: list[float] | None = None, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[list[int]], labels: list[float], size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.3, l2: float = 0.5, epochs: int = 8, offset: float = 0.0, weights: list[float] | None = None, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(indexes, values) of the non-zero weights of an FTRL-proximal logistic regression.
 
-    Per-coordinate learning rates and L1 sparsity after McMahan et al., Ad click prediction (2013).
+    ``offset`` is a fixed bias. Per-coordinate learning rates and L1 sparsity after McMahan et al., Ad click prediction (2013).
     """
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     cases = [np.unique(r) for r in rows]
@@ -63,7 +63,7 @@ def ftrl(rows: list[list[int]], labels: list[float], size: int, alpha: float = 0
                 continue
             zi, ni = z[x], n[x]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
-            p = 1 / (1 + np.exp(-np.clip(wi.sum(), -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(wi.sum() + offset, -30, 30)))
             g = (p - labels[i]) * weight[i]
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[x] = zi + g - sigma * wi

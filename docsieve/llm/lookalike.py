@@ -31,16 +31,20 @@ GENUINE = rf"[[\p{{IsCyrillic}}\p{{IsGreek}}]&&[^{_FOREIGN}]]"
 #: Scripts that use joiners; Chinese, Japanese and Korean use full-width punctuation.
 _JOINING = r"[\p{IsArabic}\p{IsSyriac}\p{IsDevanagari}\p{IsBengali}\p{IsGurmukhi}\p{IsGujarati}\p{IsOriya}\p{IsTamil}\p{IsTelugu}\p{IsKannada}\p{IsMalayalam}\p{IsSinhala}\p{IsMongolian}]"
 _EAST = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsBopomofo}]"
-#: Invisible characters: always wrong; joiners and selectors unless a joining script or a symbol stands before them; a soft hyphen unless it ends a line or value.
+#: Invisible characters: always wrong; joiners and selectors unless they belong to the character before them; a soft hyphen unless it ends a line or value.
 INVISIBLE = (
     r"[\x{200B}\x{2060}-\x{2064}\x{FEFF}\x{180E}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FFA0}]"
     rf"|(?<!{_JOINING})[\x{{200C}}\x{{200E}}\x{{200F}}]"
-    rf"|(?<!{_JOINING}|[\p{{So}}\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}])\x{{200D}}"
-    r"|(?<![\p{So}\p{Sm}\p{Nd}#*\x{203C}\x{2049}])[\x{FE00}-\x{FE0F}]"
+    r"|[\x{200D}\x{FE00}-\x{FE0F}]"
     r"|\x{00AD}(?!\s|$)"
 )
 
 
+#: Joiners and selectors that belong to the character before them; they are put aside while the others go.
+_KEPT = rf"({_JOINING}|[\p{{So}}\p{{Sm}}\x{{1F3FB}}-\x{{1F3FF}}\x{{FE0F}}\x{{E001}}]|[#*0-9](?=\x{{FE0F}}\x{{20E3}}))"
+_ASIDE, _BACK = "\ue000\ue001", "\u200d\ufe0f"
+
+
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
@@ -75,7 +79,10 @@ def _plain(values: pd.Series) -> pd.Series:
 
 def typed(value: Column) -> Column:
     """``value`` with look-alike characters replaced by those a typist would use; combining accents stay as they are."""
-    v = F.regexp_replace(value, INVISIBLE, "")
+    joined = value.rlike(r"[\x{200D}\x{FE0F}]")
+    v = F.regexp_replace(F.regexp_replace(value, _KEPT + r"\x{FE0F}", "$1\ue001"), _KEPT + r"\x{200D}", "$1\ue000")
+    v = F.regexp_replace(F.when(joined, v).otherwise(value), INVISIBLE, "")
+    v = F.when(joined, F.translate(v, _ASIDE, _BACK)).otherwise(v)
     v = F.translate(v, SPACES, " " * len(SPACES))
     v = F.regexp_replace(v, " {2,}", " ")
     for wide, plain in LIGATURES.items():

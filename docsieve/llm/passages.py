@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docsieve.llm import personal_table
+
 INSULTS = [
     "fucking moron", "stupid pig", "dumb bastard", "lying bitch", "pathetic asshole", "brainless idiot", "worthless piece of shit", "total dickhead", "cowardly scumbag",
     "disgusting little rat", "fat lazy cow", "brain-dead loser", "useless waste of skin", "miserable cunt", "filthy whore", "ugly bastard", "retarded clown", "dirty son of a bitch",
@@ -59,6 +61,7 @@ NONE = [
     "The caller used abusive language, which is noted without quoting it.", "She hates driving at night.", "The horn would not stop, what a mess.", "Kill switch and fuel pump were tested.", "A dirty windshield and worn wipers were noted.", "The bitch, a spaniel, was unhurt in the back.", "A sexual assault kit was not needed.",
     "Los refugiados fueron llevados al albergue.", "Qué mierda, se fueron los frenos, pensé.", "Merde, les freins ne répondaient plus, ai-je pensé.", "Les étrangers peuvent demander un interprète.", "Los extranjeros pueden pedir un intérprete.", "El perro murió en el accidente.", "Los sureños llegaron en un autobús.", "Unos animales cruzaron la carretera.", "Dos personas fueron trasladadas.", "La dépanneuse est arrivée trop tard.",
     "The driver threatened to call a lawyer.", "Nobody was hurt and nobody threatened anyone.", "Hell Road is closed between the bridge and the mill.", "He called the situation a stupid accident.", "It was a stupid mistake on my part.", "I hate that corner, it is dangerous.",
+    "Adjuster", "The adjuster called twice about the van.", "Adjuster Ms. Doe called.", "The adjuster is on leave until Monday.", "The clerk stamped the form.", "Whoever wrote this report was careful.", "What kind of truck was it?", "Tell that office the form is missing.", "Mme Doe et M. Roe ont signé.",
 ]
 
 
@@ -67,4 +70,5 @@ def labelled() -> list[tuple[str, int]]:
     rows = [(t, 1) for t in (*ABUSE_PLAIN, *HATE_PLAIN, *SEXUAL) for _ in range(5)]
     rows += [(t.format(I=i), 1) for t in ABUSE for i in INSULTS]
     rows += [(t.format(G=g), 1) for t in HATE for g in GROUPS]
-    return rows + [(t, 0) for t in NONE for _ in range(6)] + [(f"{g} crossed the road with the crews.", 0) for g in GROUPS for _ in range(2)]
+    rows += [(t, 0) for t, _ in personal_table.rows(1500, seed=2)]  # what such documents say otherwise
+    return rows + [(t, 0) for t in NONE for _ in range(10)] + [(f"{g} crossed the road with the crews.", 0) for g in GROUPS for _ in range(2)]

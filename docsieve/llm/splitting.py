@@ -34,7 +34,7 @@ _ABBREVIATION = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Dr|St|Ave|Rd|Blvd|Ln|Ct|No|Sr|Sra
 
 
 def _with_plan(items: DataFrame) -> DataFrame:
-    """Adds overlap, usable, stride and width: the k-th cut lies in (k * stride - width, k * stride].
+    """Adds overlap, usable, stride and width: the k-th cut lies in (overlap + k * stride - width, overlap + k * stride].
 
     Neighbouring cuts are thus less than stride + width = usable = max_chars - overlap apart. A
     negative overlap counts as 0, one of more than half of max_chars as half of it.
@@ -45,15 +45,15 @@ def _with_plan(items: DataFrame) -> DataFrame:
     return items.withColumn("stride", F.greatest(F.lit(1), F.col("usable") - F.col("width")))
 
 
-def best_in_windows(left: str, body: str, right: str, offset: int, total: int, stride: int, width: int) -> list[tuple[int, int, int]]:
+def best_in_windows(left: str, body: str, right: str, offset: int, total: int, stride: int, width: int, overlap: int = 0) -> list[tuple[int, int, int]]:
     """(window, rank, offset) of the best boundary of each cut window, as far as the range [offset, offset + len(body)) holds it."""
     text, base = left + body + right, offset - len(left)
     low, high = offset, offset + len(body)  # a boundary at offset b belongs to the range that holds the code point before it
     found: dict[int, tuple[int, int]] = {}
 
     def offer(rank: int, at: int) -> None:
-        k = -(-at // stride)
-        if k * stride - width < at < total and k and found.get(k, (-1, 0)) < (rank, at):
+        k = -(-(at - overlap) // stride)
+        if k >= 1 and overlap + k * stride - width < at < total and found.get(k, (-1, 0)) < (rank, at):
             found[k] = rank, at
 
     for rank, pattern in BOUNDARIES:
@@ -61,10 +61,10 @@ def best_in_windows(left: str, body: str, right: str, offset: int, total: int, s
             at = base + m.end()
             if low < at <= high and not (rank == 4 and _ABBREVIATION.search(text, max(0, m.start() - 8), m.end())):
                 offer(rank, at)
-    for k in range(-(-(low + 1) // stride), high // stride + 1):  # nothing natural: at the window's end, not before a mark that joins
-        at = k * stride
+    for k in range(max(1, -(-(low + 1 - overlap) // stride)), (high - overlap) // stride + 1):  # nothing natural: at the window's end, not before a mark that joins
+        at = overlap + k * stride
         if k not in found:
-            while at > low + 1 and at > k * stride - width + 1 and _joins(text[at - base : at - base + 1], text[at - base - 1]):
+            while at > low + 1 and at > overlap + k * stride - width + 1 and _joins(text[at - base : at - base + 1], text[at - base - 1]):
                 at -= 1
             offer(0, at)
     return [(k, rank, at) for k, (rank, at) in found.items()]
@@ -87,7 +87,7 @@ def cut_table(ranges: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                rows += [(r.item, k, rank, at, r.n, r.overlap, r.usable) for k, rank, at in best_in_windows(r.head, r.body, r.tail, r.offset, r.n, r.stride, r.width)]
+                rows += [(r.item, k, rank, at, r.n, r.overlap, r.usable) for k, rank, at in best_in_windows(r.head, r.body, r.tail, r.offset, r.n, r.stride, r.width, r.overlap)]
             yield pd.DataFrame(rows, columns=["item", "k", "rank", "at", "n", "overlap", "usable"])
 
     item_type = ranges.schema["item"].dataType.simpleString()

@@ -74,7 +74,7 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", name: s
     at = rows.select("doc_id", F.posexplode("ids").alias("pos", "id"))
     joined = at.join(F.broadcast(token_bytes(spark, name, folder)), "id")  # a vocabulary has a fixed size
     texts = joined.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-    texts = texts.select("doc_id", F.decode(F.unhex(F.array_join("parts.hex", "")), F.lit("UTF-8")).alias("text"))
+    texts = texts.select("doc_id", F.decode(F.unhex(F.array_join("parts.hex", "")), "UTF-8").alias("text"))
     return texts.unionByName(rows.where("coalesce(size(ids), 0) <= 0").select("doc_id", F.lit("").alias("text")))
 
 

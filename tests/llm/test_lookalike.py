@@ -1,7 +1,7 @@
 from docsieve.llm import lookalike as L
 
 CASES = {
-    "ｃａｍｅｒａ": "camera", "wa​s": "was", "westbound ": "westbound", "саrѕ": "cars", "РМ": "PM", "oﬃcer": "officer", "vehículo": "vehículo", "floor­;": "floor;", "７9": "79", "ΤΟWΙΝG": "TOWING",
+    "ｃａｍｅｒａ": "camera", "wa​s": "was", "westbound ": "westbound", "саrѕ": "cars", "РМ": "PM", "oﬃcer": "officer", "vehi\u0301culo": "vehículo", "floor­;": "floor;", "７9": "79", "ΤΟWΙΝG": "TOWING",
 }
 FINE = ["camera", "Спасибо", "да,", "Ελένη", "می‌روم", "👨‍👩‍👧", "½", "m²", "№", "Übergang", "traf-", "insura¬", "—", "", "façade", "engi­"]
 
@@ -18,7 +18,7 @@ def test_deviating_values(spark):
 
 
 def test_canonical_member_is_deterministic(spark):
-    df = spark.createDataFrame([(1, "é"), (2, "é"), (3, "é"), (4, "è"), (5, "E"), (6, "e")], "id int, v string")
+    df = spark.createDataFrame([(1, "é"), (2, "e\u0301"), (3, "é"), (4, "è"), (5, "E"), (6, "e")], "id int, v string")
     got = {r.id: r.canonical_text for r in L.canonical(df, "v").collect()}
     assert got == {1: "é", 2: "é", 3: "é", 4: "è", 5: "E", 6: "e"}
 
