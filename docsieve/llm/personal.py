@@ -7,7 +7,7 @@ table and decoded by Viterbi in numpy batches; spans get typed placeholders.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,15 +30,19 @@ _PAGE = re.compile(r"^[^\w\n]*(?:(?:p\s?a\s?g\s?e|pg\.?)\s*)?\d{1,4}(?:\s*(?:of|
 _HEADER = re.compile(r"\b(?:form|report|case|page|pg|confidential|department|sheriff|division|investigation)\b", re.I)
 
 
-def furniture(text: str) -> list[tuple[int, int]]:
-    """Extents of lines within a text that are page numbers or look like running headers: titles in capitals that name a form, case or office."""
+def furniture(text: str, recurring: Collection[int] = ()) -> list[tuple[int, int]]:
+    """Extents of lines within a text that are page numbers or running headers.
+
+    A header is a title in capitals that names a form, case or office and, as running text can look
+    the same, has its number among ``recurring``, the lines that recur in the corpus.
+    """
     if "\n" not in text:
         return []
     out, at = [], 0
     capitals = text.upper() == text
-    for line in text.split("\n"):
+    for i, line in enumerate(text.split("\n")):
         end, bare = at + len(line), line.strip()
-        if bare and len(bare) < 90 and (_PAGE.match(bare) or (_HEADER.search(plain(bare)) and not re.search(r"[.,;!?\"]$", bare) and _titled(bare, capitals))):
+        if bare and len(bare) < 90 and (_PAGE.match(bare) or (i in recurring and _HEADER.search(plain(bare)) and not re.search(r"[.,;!?\"]$", bare) and _titled(bare, capitals))):
             out.append((at, end))
         at = end + 1
     return out
@@ -51,9 +55,9 @@ def _titled(line: str, capitals: bool) -> bool:
     return bool(words) and all(w[0].isupper() for w in words)
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
+def tokens(text: str, recurring: Collection[int] = ()) -> list[tuple[int, int]]:
     """Extents of the tokens of a text (words, single digits, signs), without lines that interrupt it."""
-    skip = furniture(text)
+    skip = furniture(text, recurring)
     found = [m.span() for m in _TOKEN.finditer(text)]
     if not skip:
         return found
@@ -149,9 +153,9 @@ def chains(text: str, at: list[tuple[int, int]]) -> list[int]:
 _SHORT = {"mr", "ms", "mrs", "dr", "sr", "sra", "m", "st", "núm", "apto", "soc", "det", "sgt", "no", *"abcdefghijklmnoprstvwyzé"}
 
 
-def spans_of(texts: list[str], field: crf.Field) -> list[list[tuple[int, int, str]]]:
-    """Spans (start, end, type) of each text."""
-    ats = [tokens(t) for t in texts]
+def spans_of(texts: list[str], field: crf.Field, recurring: list[Collection[int]] | None = None) -> list[list[tuple[int, int, str]]]:
+    """Spans (start, end, type) of each text; ``recurring`` has the lines of each that recur in the corpus."""
+    ats = [tokens(t, r) for t, r in zip(texts, recurring or [()] * len(texts))]
     lengths = [chains(t, at) if at else [] for t, at in zip(texts, ats)]
     scores = [field.scores(features(t, at)) for t, at in zip(texts, ats) if at]
     tags = field.decode(np.concatenate(scores), np.array([n for ns in lengths for n in ns])) if scores else np.zeros(0, int)
@@ -215,13 +219,21 @@ def shipped(rows: DataFrame):
     return rows.sparkSession.sparkContext.broadcast(model())
 
 
-def find(narratives: DataFrame, batch: int = 256) -> DataFrame:
+def _rows(narratives: DataFrame, recurring: DataFrame | None) -> DataFrame:
+    rows = once(narratives.select("narrative_id", "text"), "narrative_id")
+    if recurring is None:
+        return rows.withColumn("recurring", F.array().cast("array<int>"))
+    return rows.join(recurring, "narrative_id", "left").withColumn("recurring", F.coalesce("recurring", F.array().cast("array<int>")))
+
+
+def find(narratives: DataFrame, recurring: DataFrame | None = None, batch: int = 256) -> DataFrame:
     """(narrative_id, entity_type, start_offset, end_offset): every span in the text of a narrative, each once.
 
     Offsets are code points of the text as delivered. Null and empty texts have no spans. Redelivered
-    rows count once. Every whole text is decoded, in chains; features look across their ends.
+    rows count once. Every whole text is decoded, in chains; features look across their ends. Only
+    page numbers and the headers among ``recurring`` (narrative_id, recurring: numbers of lines) are left out.
     """
-    rows = once(narratives.select("narrative_id", "text"), "narrative_id").where("text <> ''")
+    rows = _rows(narratives, recurring).where("text <> ''")
     key = narratives.schema["narrative_id"].dataType.simpleString()
 
     weights = shipped(narratives)
@@ -231,15 +243,16 @@ def find(narratives: DataFrame, batch: int = 256) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), batch):
                 ids, texts = b["narrative_id"].iloc[i : i + batch], b["text"].iloc[i : i + batch].tolist()
-                out = [(n, k, a, e) for n, found in zip(ids, spans_of(texts, field)) for a, e, k in found]
+                lines = b["recurring"].iloc[i : i + batch].tolist()
+                out = [(n, k, a, e) for n, found in zip(ids, spans_of(texts, field, lines)) for a, e, k in found]
                 yield pd.DataFrame(out, columns=["narrative_id", "entity_type", "start_offset", "end_offset"])
 
     return rows.mapInPandas(decode, f"narrative_id {key}, entity_type string, start_offset int, end_offset int")
 
 
-def masked(narratives: DataFrame, batch: int = 256) -> DataFrame:
+def masked(narratives: DataFrame, recurring: DataFrame | None = None, batch: int = 256) -> DataFrame:
     """(narrative_id, text): texts with spans replaced by [TYPE] and all else unchanged; null stays null, empty stays empty."""
-    rows = once(narratives.select("narrative_id", "text"), "narrative_id")
+    rows = _rows(narratives, recurring)
     key = narratives.schema["narrative_id"].dataType.simpleString()
 
     weights = shipped(narratives)
@@ -251,7 +264,7 @@ def masked(narratives: DataFrame, batch: int = 256) -> DataFrame:
                 part = b.iloc[i : i + batch]
                 texts = [t or "" for t in part["text"]]
                 out = []
-                for t, found, given in zip(texts, spans_of(texts, field), part["text"]):
+                for t, found, given in zip(texts, spans_of(texts, field, part["recurring"].tolist()), part["text"]):
                     for a, e, kind in reversed(found):
                         t = f"{t[:a]}[{kind}]{t[e:]}"
                     out.append(None if given is None else t)

@@ -26,11 +26,15 @@ def _p1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find(table(spark, d, "narratives")).select("narrative_id", "entity_type", "start_offset")
+    return personal.find(table(spark, d, "narratives"), _headers(spark, d)).select("narrative_id", "entity_type", "start_offset")
 
 
 def p2_masked(spark: SparkSession, d: str) -> DataFrame:
-    return personal.masked(table(spark, d, "narratives"))
+    return personal.masked(table(spark, d, "narratives"), _headers(spark, d))
+
+
+def _headers(spark: SparkSession, d: str) -> DataFrame:
+    return scans.recurring(table(spark, d, "narratives"), table(spark, d, "ocr_lines"), table(spark, d, "templates"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -158,6 +158,12 @@ def furniture(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.withColumn("furniture", (shaped & F.coalesce("header", F.lit(False)) & F.col("edge")) | number).drop("key", "header", "edge", "closing")
 
 
+def recurring(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(narrative_id, recurring): the numbers of the lines of a narrative that are furniture, if it has any."""
+    marked = furniture(lines_of(narratives, ocr_lines), anchors).where("furniture and unit = 'narrative'")
+    return marked.groupBy(F.col("id").cast(narratives.schema["narrative_id"].dataType).alias("narrative_id")).agg(F.collect_list(F.col("pos").cast("int")).alias("recurring"))
+
+
 def unbroken() -> Column:
     """A line without the part of a word broken at its end and the rest of one at its start."""
     line = F.when((F.length("line") <= WIDTH) & F.col("line").rlike(rf"\p{{L}}{MARK}+$"), F.regexp_replace("line", rf"\S*\p{{L}}{MARK}+$", "")).otherwise(F.col("line"))
