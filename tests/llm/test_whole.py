@@ -1,4 +1,5 @@
 from docsieve.llm import personal, scans
+from docsieve.llm import queries as Q
 
 
 def test_running_text_that_looks_like_a_header_is_decoded(spark):
@@ -14,3 +15,12 @@ def test_running_text_that_looks_like_a_header_is_decoded(spark):
     assert got == {(1, "PERSON_NAME", rows[0][1].index("PRIYA"))}
     assert "[PERSON_NAME] DECLINED" in {r.narrative_id: r.text for r in personal.masked(df, recurring).collect()}[1]
     assert personal.tokens("a\nForm Report QC\nb", [1]) == [(0, 1), (17, 18)]
+
+
+def test_words_and_entities_share_canonical_forms(spark, tmp_path):
+    words = [(1, "ét"), (2, "саrѕ"), (3, None), (1, "ét"), (4, "ﬁne")]
+    spark.createDataFrame(words, "word_key long, text string").write.parquet(f"{tmp_path}/words.parquet")
+    spark.createDataFrame([(1, "ét"), (2, "cars"), (3, "ét")], "entity_id long, normalized_text string").write.parquet(f"{tmp_path}/entities.parquet")
+    got = sorted(map(tuple, Q.p5_canonical(spark, str(tmp_path)).collect()))
+    assert got == [("entity", 1, "ét"), ("entity", 2, "cars"), ("entity", 3, "ét"), ("word", 1, "ét"), ("word", 2, "cars"), ("word", 3, None), ("word", 4, "fine")]
+    assert {tuple(r) for r in Q.p5_found(spark, str(tmp_path)).collect()} == {("word", 1), ("word", 2), ("word", 4)}
