@@ -1,15 +1,16 @@
 """Problem 4: cutting oversized items at natural boundaries, with overlap.
 
 Items are handled as ranges of bounded length. Workers look for boundaries in a range and a halo
-around it, prefix sums of the range lengths give absolute offsets, the best boundary of each cut
-window is found by one aggregation, and pieces are emitted by offset from the ranges they touch.
-No task ever holds a whole item, be it a column value or a file.
+around it, prefix sums of the range lengths give absolute offsets, one pass over the boundaries of
+an item in their order picks each cut from the whole reach of its piece, and pieces are emitted by
+offset from the ranges they touch. No task ever holds a whole item, be it a column value or a file.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,40 +35,65 @@ _ABBREVIATION = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Dr|St|Ave|Rd|Blvd|Ln|Ct|No|Sr|Sra
 
 
 def _with_plan(items: DataFrame) -> DataFrame:
-    """Adds overlap, usable, stride and width: the k-th cut lies in (overlap + k * stride - width, overlap + k * stride].
+    """Adds overlap and usable: a cut lies in (before, before + usable], the first one in (overlap, overlap + usable].
 
-    Neighbouring cuts are thus less than stride + width = usable = max_chars - overlap apart. A
-    negative overlap counts as 0, one of more than half of max_chars as half of it.
+    Neighbouring cuts are thus usable = max_chars - overlap apart at most. A negative overlap counts
+    as 0, one of more than half of max_chars as half of it.
     """
     overlap = F.greatest(F.lit(0), F.least("overlap_chars", F.floor(F.col("max_chars") / 2).cast("int")))
-    items = items.withColumn("overlap", overlap).withColumn("usable", F.greatest(F.lit(1), F.col("max_chars") - F.col("overlap")))
-    items = items.withColumn("width", F.greatest(F.lit(1), F.floor(F.col("usable") / 5).cast("int")))
-    return items.withColumn("stride", F.greatest(F.lit(1), F.col("usable") - F.col("width")))
+    return items.withColumn("overlap", overlap).withColumn("usable", F.greatest(F.lit(1), F.col("max_chars") - F.col("overlap")))
 
 
-def best_in_windows(left: str, body: str, right: str, offset: int, total: int, stride: int, width: int, overlap: int = 0) -> list[tuple[int, int, int]]:
-    """(window, rank, offset) of the best boundary of each cut window, as far as the range [offset, offset + len(body)) holds it."""
+def boundaries(left: str, body: str, right: str, offset: int) -> tuple[list[int], list[int]]:
+    """Offsets of the boundaries after a code point of the range [offset, offset + len(body)), in order, and their ranks; -1 where no cut may fall, as a mark joins."""
     text, base = left + body + right, offset - len(left)
     low, high = offset, offset + len(body)  # a boundary at offset b belongs to the range that holds the code point before it
-    found: dict[int, tuple[int, int]] = {}
-
-    def offer(rank: int, at: int) -> None:
-        k = -(-(at - overlap) // stride)
-        if k >= 1 and overlap + k * stride - width < at < total and found.get(k, (-1, 0)) < (rank, at):
-            found[k] = rank, at
-
+    found: dict[int, int] = {}
+    for m in _WIDE.finditer(text):
+        i = m.start()
+        for at in (i, i + 1):
+            if 0 < at < len(text) and low < base + at <= high and _joins(text[at], text[at - 1]):
+                found[base + at] = -1
     for rank, pattern in BOUNDARIES:
         for m in pattern.finditer(text):
             at = base + m.end()
             if low < at <= high and not (rank == 4 and _ABBREVIATION.search(text, max(0, m.start() - 8), m.end())):
-                offer(rank, at)
-    for k in range(max(1, -(-(low + 1 - overlap) // stride)), (high - overlap) // stride + 1):  # nothing natural: at the window's end, not before a mark that joins
-        at = overlap + k * stride
-        if k not in found:
-            while at > low + 1 and at > overlap + k * stride - width + 1 and _joins(text[at - base : at - base + 1], text[at - base - 1]):
-                at -= 1
-            offer(0, at)
-    return [(k, rank, at) for k, (rank, at) in found.items()]
+                found[at] = max(rank, found.get(at, -1))
+    ats = sorted(found)
+    return ats, [found[at] for at in ats]
+
+
+class Cuts:
+    """The cuts of one item, from its boundaries in their order.
+
+    A cut falls at the best boundary of the last fifth of its reach, or of the nearest fifth before
+    that has one; only if the whole reach has none, at its end, not before a mark that joins.
+    """
+
+    def __init__(self, n: int, overlap: int, usable: int):
+        self.n, self.usable, self.width = n, usable, max(1, usable // 5)
+        self.before, self.k, self.ats, self.ranks = overlap, 0, [], []
+
+    def add(self, ats: list[int], ranks: list[int], known: int) -> Iterator[tuple[int, int]]:
+        """(k, at) of the cuts that are certain with further boundaries, all those up to ``known``."""
+        self.ats += ats
+        self.ranks += ranks
+        i = 0
+        while self.n - self.before > self.usable and self.before + self.usable <= known:
+            end = self.before + self.usable
+            i = bisect_right(self.ats, self.before, i)
+            j = bisect_right(self.ats, end, i)
+            natural = [(-((end - at) // self.width), rank, at) for at, rank in zip(self.ats[i:j], self.ranks[i:j]) if rank > 0]
+            self.before = max(natural)[2] if natural else self._hard(end, set(self.ats[i:j]))
+            self.k += 1
+            yield self.k, self.before
+        del self.ats[:i], self.ranks[:i]
+
+    def _hard(self, end: int, joined: set[int]) -> int:
+        return next((at for at in range(end, self.before, -1) if at not in joined), end)
+
+
+_WIDE = re.compile(r"[^\x00-\x7f]")
 
 
 def _joins(after: str, before: str) -> bool:
@@ -80,25 +106,29 @@ def cut_table(ranges: DataFrame) -> DataFrame:
     """(item, k, at, n, overlap, usable): the chosen cuts of each item.
 
     ``ranges`` has item, offset, n (length of the item), head, body, tail (text and context of a range),
-    overlap, usable, stride and width.
+    overlap and usable. An item's boundaries, without its text, pass through one task, range by range.
     """
 
-    def boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r.item, r.offset, r.offset + len(r.body), r.n, r.overlap, r.usable, *boundaries(r.head, r.body, r.tail, r.offset)) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["item", "offset", "known", "n", "overlap", "usable", "ats", "ranks"])
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        item, cuts = None, None
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                rows += [(r.item, k, rank, at, r.n, r.overlap, r.usable) for k, rank, at in best_in_windows(r.head, r.body, r.tail, r.offset, r.n, r.stride, r.width, r.overlap)]
-            yield pd.DataFrame(rows, columns=["item", "k", "rank", "at", "n", "overlap", "usable"])
+                if cuts is None or r.item != item:
+                    item, cuts = r.item, Cuts(r.n, r.overlap, r.usable)
+                rows += [(r.item, k, at, r.n, r.overlap, r.usable) for k, at in cuts.add(list(map(int, r.ats)), list(map(int, r.ranks)), r.known)]
+            yield pd.DataFrame(rows, columns=["item", "k", "at", "n", "overlap", "usable"])
 
     item_type = ranges.schema["item"].dataType.simpleString()
-    found = ranges.select("item", "offset", "n", "head", "body", "tail", "overlap", "usable", "stride", "width")
-    found = found.mapInPandas(boundaries, f"item {item_type}, k bigint, rank int, at bigint, n bigint, overlap int, usable int")
-    best = found.groupBy("item", "k", "n", "overlap", "usable").agg(F.max(F.struct("rank", "at")).alias("best"))
-    cuts = best.select("item", "k", F.col("best.at").alias("at"), "n", "overlap", "usable")
-    before = F.lag("at", 1, 0).over(Window.partitionBy("item").orderBy("k"))
-    last = F.lead("at").over(Window.partitionBy("item").orderBy("k")).isNull()
-    cuts = cuts.withColumn("before", before).withColumn("last", last)
-    return cuts.where(~(F.col("last") & (F.col("n") - F.col("before") <= F.col("usable")))).drop("before", "last")
+    found = ranges.select("item", "offset", "n", "head", "body", "tail", "overlap", "usable")
+    found = found.mapInPandas(look, f"item {item_type}, offset bigint, known bigint, n bigint, overlap int, usable int, ats array<bigint>, ranks array<int>")
+    ordered = found.repartition("item").sortWithinPartitions("item", "offset")
+    return ordered.mapInPandas(choose, f"item {item_type}, k bigint, at bigint, n bigint, overlap int, usable int")
 
 
 def piece_table(cuts: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from docsieve.llm import personal, scans
+from docsieve.llm import personal, scans, splitting
 from docsieve.llm import queries as Q
 
 
@@ -24,3 +24,16 @@ def test_words_and_entities_share_canonical_forms(spark, tmp_path):
     got = sorted(map(tuple, Q.p5_canonical(spark, str(tmp_path)).collect()))
     assert got == [("entity", 1, "ét"), ("entity", 2, "cars"), ("entity", 3, "ét"), ("word", 1, "ét"), ("word", 2, "cars"), ("word", 3, None), ("word", 4, "fine")]
     assert {tuple(r) for r in Q.p5_found(spark, str(tmp_path)).collect()} == {("word", 1), ("word", 2), ("word", 4)}
+
+
+def test_cuts_fall_on_boundaries_anywhere_in_the_reach(spark):
+    text = "Short words first. " + "x" * 70 + " and more " + "y" * 150 + " " + "z" * 60 + "é" * 80
+    items = spark.createDataFrame([(1, "a", text)], "id int, source string, text string")
+    limits = spark.createDataFrame([("a", 100, 10)], "source string, max_chars int, overlap_chars int")
+    for size in (64, 1 << 16):
+        pieces = splitting.split_items(items, limits, "id", size=size)[1].orderBy("piece").collect()
+        ends = [r.end_offset for r in pieces]
+        assert ends[-1] == len(text) and all(len(r.text) <= 100 for r in pieces)
+        for a, b in zip([10, *ends], ends[:-1]):  # a hard cut only where the whole reach has no white space
+            assert text[b - 1] == " " or " " not in text[a : a + 90]
+            assert text[b] != "́"
