@@ -249,26 +249,40 @@ def joined_words(marked: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.withColumn("hyphen", hyphen).select("unit", "id", "grp", "sub", "pos", "head", "tail", "hyphen")
 
 
+def scanned_words(marked: DataFrame, broken: DataFrame) -> DataFrame:
+    """(unit, id, t): the words of scanned narratives and lines, broken ones put together."""
+    words = marked.where("scanned and (unit = 'narrative' or not furniture)").select("unit", "id", F.explode(F.split(unbroken(), r"\s+")).alias("w"))
+    words = words.select("unit", "id", token(F.col("w")).alias("t")).where("t <> ''")
+    return words.unionByName(broken.where("hyphen").select("unit", "id", token(F.concat("head", "tail")).alias("t")))
+
+
+def numbers(words: DataFrame) -> DataFrame:
+    """(number, digits): words that are numbers with letters read for digits, and the number that stood there.
+
+    The shape with digits in their place is a common one, the shape as read is rare beside it.
+    """
+    shapes = cut(number_masks(words))
+    common = shapes.where(f"n >= {RATIO * SUPPORT}").select("shape", F.col("n").alias("common"))
+    letters, digits = "".join(DIGITS), "".join(DIGITS.values())
+    found = words.where(F.col("t").rlike(rf"\d.*[{re.escape(letters)}]|[{re.escape(letters)}].*\d") & ~F.col("t").rlike(r"@|_|\p{L}{4}")).select(F.col("t").alias("number")).distinct()
+    found = found.withColumn("digits", F.translate("number", letters, digits)).withColumn("own", mask(F.col("number"))).withColumn("stood", mask(F.col("digits")))
+    found = found.join(small(common, "64"), F.col("stood") == common["shape"]).drop(common["shape"])
+    found = found.join(small(shapes.select(F.col("shape").alias("own"), "n"), "64"), "own").where(F.col("n") * RATIO <= F.col("common"))
+    return found.select("number", "digits")
+
+
 def _cases(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = lines_of(narratives, ocr_lines)
     marked = cut(furniture(lines, anchors))
     counts = cut(vocabulary(marked))
     broken = cut(joined_words(marked, counts))
     wrong_forms = small(cut(corrections(counts)), "octet_length(form) + octet_length(stood) + 32")
-    words = marked.where("scanned and (unit = 'narrative' or not furniture)").select("unit", "id", F.explode(F.split(unbroken(), r"\s+")).alias("w"))
-    words = words.select("unit", "id", token(F.col("w")).alias("t")).where("t <> ''")
-    rejoined = broken.where("hyphen").select("unit", "id", token(F.concat("head", "tail")).alias("t"))
-    words = words.unionByName(rejoined)
-    shapes = cut(number_masks(words))
-    common = shapes.where(f"n >= {RATIO * SUPPORT}").select("shape", F.col("n").alias("common"))
+    words = cut(scanned_words(marked, broken))
     by_form = words.join(wrong_forms, F.lower("t") == F.col("form")).select("unit", "id")
     by_shape = words.where(misshapen(F.col("t"))).select("unit", "id")
-    letters, digits = "".join(DIGITS), "".join(DIGITS.values())
-    numbers = words.where(F.col("t").rlike(rf"\d.*[{re.escape(letters)}]|[{re.escape(letters)}].*\d") & ~F.col("t").rlike(r"@|_|\p{L}{4}"))
-    numbers = numbers.select("unit", "id", mask(F.col("t")).alias("shape"), mask(F.translate("t", letters, digits)).alias("stood"))
-    numbers = numbers.join(small(common, "64"), F.col("stood") == common["shape"]).drop(common["shape"])
-    numbers = numbers.join(small(shapes.select(F.col("shape").alias("own"), "n"), "64"), F.col("shape") == F.col("own")).where(F.col("n") * RATIO <= F.col("common")).select("unit", "id")
-    return marked, broken, by_form.unionByName(by_shape).unionByName(numbers)
+    read = small(cut(numbers(words)), "octet_length(number) + octet_length(digits) + 32")
+    by_number = words.join(read, F.col("t") == F.col("number")).select("unit", "id")
+    return marked, broken, by_form.unionByName(by_shape).unionByName(by_number)
 
 
 def repair(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -282,6 +296,7 @@ def repair(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> D
     counts = cut(vocabulary(marked))
     broken = cut(joined_words(marked, counts))
     wrong = small(cut(corrections(counts)), "octet_length(form) + octet_length(stood) + 32")
+    read = small(cut(numbers(cut(scanned_words(marked, broken)))), "octet_length(number) + octet_length(digits) + 32")
     kept = marked.where("scanned and not furniture")
     w = Window.partitionBy("unit", "grp", "sub").orderBy("pos")
     kept = kept.join(broken.select("unit", "grp", "sub", "pos", "tail", "hyphen", F.lit(True).alias("breaks")), ["unit", "grp", "sub", "pos"], "left")
@@ -290,10 +305,11 @@ def repair(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> D
     line = F.when(F.col("breaks"), F.concat(F.when(F.col("hyphen"), F.regexp_replace(line, rf"{MARK}+$", "")).otherwise(line), F.col("tail"))).otherwise(line)
     kept = kept.withColumn("line", line).where("line <> ''")
     words = kept.select("unit", "grp", "sub", "paragraph", "pos", F.posexplode(F.split("line", r"\s+")).alias("i", "w"))
-    fixed = words.withColumn("t", token(F.col("w"))).join(wrong, F.lower("t") == F.col("form"), "left")
+    fixed = words.withColumn("t", token(F.col("w"))).join(wrong, F.lower("t") == F.col("form"), "left").join(read, F.col("t") == F.col("number"), "left")
     upper = F.col("t").rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$")
     capital = F.col("t").rlike(r"^\p{Lu}")
     stood = F.when(upper, F.upper("stood")).when(capital, F.initcap("stood")).otherwise(F.col("stood"))
-    fixed = fixed.withColumn("w", F.when(F.col("stood").isNull() | (F.col("t") == ""), F.col("w")).otherwise(F.replace(F.col("w"), F.col("t"), stood)))
+    stood = F.coalesce("digits", stood)
+    fixed = fixed.withColumn("w", F.when(stood.isNull() | (F.col("t") == ""), F.col("w")).otherwise(F.replace(F.col("w"), F.col("t"), stood)))
     texts = fixed.groupBy("unit", "grp", "sub", "paragraph").agg(F.sort_array(F.collect_list(F.struct("pos", "i", "w"))).alias("ws"))
     return texts.select("unit", "grp", "sub", "paragraph", F.array_join("ws.w", " ").alias("text"))

@@ -37,3 +37,15 @@ def test_cuts_fall_on_boundaries_anywhere_in_the_reach(spark):
         for a, b in zip([10, *ends], ends[:-1]):  # a hard cut only where the whole reach has no white space
             assert text[b - 1] == " " or " " not in text[a : a + 90]
             assert text[b] != "́"
+
+
+def _scans(spark, texts):
+    n = spark.createDataFrame([(i, t, "ocr") for i, t in enumerate(texts)], "narrative_id long, text string, text_source string")
+    lines = spark.createDataFrame([], "line_id long, document_id string, page_index int, line_index int, text string")
+    anchors = spark.createDataFrame([(["Diagram"],)], "anchors array<string>")
+    return {tuple(r) for r in scans.find(n, lines, anchors).collect()}, {r.grp: r.text for r in scans.repair(n, lines, anchors).collect()}
+
+
+def test_misread_numbers_are_repaired(spark):
+    found, texts = _scans(spark, [*(f"Call 736-555-0{i:03d}." for i in range(100, 180)), "Call 736-555-0l81."])
+    assert ("narrative", 80, "misread") in found and texts["80"] == "Call 736-555-0181." and texts["0"] == "Call 736-555-0100."
