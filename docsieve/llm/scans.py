@@ -164,9 +164,15 @@ def recurring(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -
     return marked.groupBy(F.col("id").cast(narratives.schema["narrative_id"].dataType).alias("narrative_id")).agg(F.collect_list(F.col("pos").cast("int")).alias("recurring"))
 
 
+def last_word() -> Column:
+    """The last word of a line, taken at its last space, so that lines of any length can be looked at."""
+    return F.substring_index("line", " ", -1)
+
+
 def unbroken() -> Column:
     """A line without the part of a word broken at its end and the rest of one at its start."""
-    line = F.when((F.length("line") <= WIDTH) & F.col("line").rlike(rf"\p{{L}}{MARK}+$"), F.regexp_replace("line", rf"\S*\p{{L}}{MARK}+$", "")).otherwise(F.col("line"))
+    rest = F.substring("line", F.lit(1), F.length("line") - F.length(last_word()))
+    line = F.when(last_word().rlike(rf"\p{{L}}{MARK}+$"), rest).otherwise(F.col("line"))
     return F.when(F.col("continued"), F.regexp_replace(line, r"^\S+\s*", "")).otherwise(line)
 
 
@@ -233,8 +239,8 @@ def joined_words(marked: DataFrame, counts: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("unit", "grp", "sub").orderBy("pos")
     rows = marked.where("not furniture and line <> ''").withColumn("next", F.lead("line").over(w))
-    rows = rows.where(f"scanned and length(line) <= {WIDTH}").where(F.col("line").rlike(rf"[\p{{L}}\p{{N}}|!@{{]{MARK}+$") & F.col("next").isNotNull())
-    head = F.regexp_extract("line", rf"(\S+?){MARK}+$", 1)
+    rows = rows.where("scanned").where(last_word().rlike(rf"[\p{{L}}\p{{N}}|!@{{]{MARK}+$") & F.col("next").isNotNull())
+    head = F.regexp_extract(last_word(), rf"(\S+?){MARK}+$", 1)
     rows = rows.select("unit", "id", "grp", "sub", "pos", "line", head.alias("head"), F.regexp_extract("next", r"^(\S+)", 1).alias("tail"))
     joined = F.lower(token(F.concat("head", "tail")))
     rows = rows.withColumn("joined", joined).withColumn("kept", F.lower(token(F.concat("head", F.lit("-"), "tail"))))

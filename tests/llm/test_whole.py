@@ -49,3 +49,8 @@ def _scans(spark, texts):
 def test_misread_numbers_are_repaired(spark):
     found, texts = _scans(spark, [*(f"Call 736-555-0{i:03d}." for i in range(100, 180)), "Call 736-555-0l81."])
     assert ("narrative", 80, "misread") in found and texts["80"] == "Call 736-555-0181." and texts["0"] == "Call 736-555-0100."
+
+
+def test_words_broken_at_the_end_of_long_lines(spark):
+    found, texts = _scans(spark, ["x=" + "y" * 400 + " Sho-\nrtly afterward it left.", *["It came shortly afterward."] * 3])
+    assert ("narrative", 0, "hyphen") in found and texts["0"].endswith("y Shortly afterward it left.")
