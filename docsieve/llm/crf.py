@@ -16,31 +16,58 @@ class Field:
         self.allowed = np.array([[b[0] != "I" or a[1:] == b[1:] and a != "O" for b in labels] for a in labels])
         self.start = np.array([label[0] != "I" for label in labels])
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        """Label scores of tokens whose features are the columns of an array of buckets."""
-        out = np.zeros((len(features), len(self.labels)), np.float32)
-        for column in features.T:
-            out += self.emit[column]
-        return out
+    def copy(self) -> Field:
+        other = Field(self.labels, self.buckets)
+        other.emit[:], other.move[:] = self.emit, self.move
+        return other
 
     def _moves(self) -> np.ndarray:
         return np.where(self.allowed, self.move, -1e4).astype(np.float32)
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best labels of sequences laid end to end, by Viterbi over all sequences at once, the longest first."""
+        """The best labels of sequences laid end to end, by Viterbi over all sequences at once, the longest first.
+
+        Sequences in which no other label can pay off against O, whatever the moves, are O throughout.
+        """
+        out = np.zeros(len(scores), np.int8)
+        if not len(lengths):
+            return out
+        move = self._moves()
+        gain = max(0.0, float((move - move[0, 0]).max()))
+        margin = scores[:, 1:].max(1) - scores[:, 0]
+        starts = np.cumsum(lengths) - lengths
+        open_ = np.maximum.reduceat(margin, starts) + 2 * gain >= 0
+        lengths, starts = lengths[open_], starts[open_]
         order = np.argsort(-lengths, kind="stable")
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
-        size, out = lengths[order], np.zeros(len(scores), np.int8)
+        begin, size = starts[order], lengths[order]
         if not len(size):
             return out
-        move, back = self._moves(), []
-        live = len(size)
-        best = scores[begin] + np.where(self.start, 0, -1e4)
+        back = []
+        k = len(self.labels)
+        free = np.flatnonzero(np.array([x[0] != "I" for x in self.labels]))  # reached from any label
+        bound = {i: np.flatnonzero(self.allowed[:, i]) for i in range(k) if i not in set(free.tolist())}
+        best = scores[begin] + np.where(self.start, 0, -1e4).astype(np.float32)
         for t in range(1, int(size[0])):
             live = int(np.searchsorted(-size, -t, side="left"))
-            paths = best[:live, :, None] + move
-            back.append(paths.argmax(1).astype(np.int8))
-            best[:live] = paths.max(1) + scores[begin[:live] + t]
+            old = best[:live]
+            if live < 256:  # one dense step costs less than one by label
+                paths = old[:, :, None] + move
+                by = paths.argmax(1).astype(np.int8)
+                back.append(by)
+                best[:live] = paths.max(1) + scores[begin[:live] + t]
+                continue
+            new, by = np.empty((live, k), np.float32), np.empty((live, k), np.int8)
+            for i in free:
+                path = old + move[:, i]
+                by[:, i] = path.argmax(1)
+                new[:, i] = path[np.arange(live), by[:, i]]
+            for i, sources in bound.items():
+                path = old[:, sources] + move[sources, i]
+                pick = path.argmax(1)
+                by[:, i] = sources[pick]
+                new[:, i] = path[np.arange(live), pick]
+            back.append(by)
+            best[:live] = new + scores[begin[:live] + t]
         label = best.argmax(1)
         out[begin + size - 1] = label
         for t in range(int(size[0]) - 1, 0, -1):

@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 
 from docsieve.llm import crf, linear, personal_table
 from docsieve.llm.lookalike import plain
-from docsieve.session import once
+from docsieve.session import cut, once
 
 TYPES = ("PERSON_NAME", "EMAIL", "PHONE_NUMBER", "SSN", "DRIVER_LICENSE", "ADDRESS")
 LABELS = ["O", *[f"{p}-{t}" for t in TYPES for p in "BI"]]
 BUCKETS = 1 << 17
-#: Labelled sentences the field is fitted on, and tokens of a chain at most; features look beyond its ends.
-SENTENCES, CHAIN = 4200, 60
-
-_TOKEN = re.compile(r"(?:[^\W\d_]|[̀-ͯ​-‍⁠﻿­])+|\d|[^\w\s]|_")
+#: Labelled sentences the field is fitted on.
+SENTENCES = 4200
+#: Bound of the narratives that the field is fitted on a second time, with the entities that detectors gave for them.
+SAMPLE = 600
+#: A word or a neighbour is known by so many spans; if fewer than LEAST of them were confirmed, they are no spans.
+KNOWN, LEAST = 6, 0.1
+
+_TOKEN = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad])+|\d|[^\w\s]|_")
 _PAGE = re.compile(r"^[^\w\n]*(?:(?:p\s?a\s?g\s?e|pg\.?)\s*)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?[^\w\n.,;:]*$", re.I)
 _HEADER = re.compile(r"\b(?:form|report|case|page|pg|confidential|department|sheriff|division|investigation)\b", re.I)
 
@@ -42,7 +46,7 @@ def furniture(text: str, recurring: Collection[int] = ()) -> list[tuple[int, int
     capitals = text.upper() == text
     for i, line in enumerate(text.split("\n")):
         end, bare = at + len(line), line.strip()
-        if bare and len(bare) < 90 and (_PAGE.match(bare) or (i in recurring and _HEADER.search(plain(bare)) and not re.search(r"[.,;!?\"]$", bare) and _titled(bare, capitals))):
+        if bare and (_PAGE.match(bare) or (i in recurring and _HEADER.search(plain(bare)) and not re.search(r"[.,;!?\"]$", bare) and _titled(bare, capitals))):
             out.append((at, end))
         at = end + 1
     return out
@@ -55,19 +59,23 @@ def _titled(line: str, capitals: bool) -> bool:
     return bool(words) and all(w[0].isupper() for w in words)
 
 
-def tokens(text: str, recurring: Collection[int] = ()) -> list[tuple[int, int]]:
-    """Extents of the tokens of a text (words, single digits, signs), without lines that interrupt it."""
+def streams(text: str, recurring: Collection[int] = ()) -> list[np.ndarray]:
+    """Extents of the tokens of a text (words, single digits, signs), in streams: running text, then each line that interrupts it by itself. No token is left out."""
+    found = np.array([m.span() for m in _TOKEN.finditer(text)], np.int64).reshape(-1, 2)
     skip = furniture(text, recurring)
-    found = [m.span() for m in _TOKEN.finditer(text)]
     if not skip:
-        return found
-    k, out = 0, []
-    for a, b in found:
-        while k < len(skip) and skip[k][1] <= a:
-            k += 1
-        if k == len(skip) or not skip[k][0] <= a < skip[k][1]:
-            out.append((a, b))
-    return out
+        return [found]
+    within = np.zeros(len(found), bool)
+    lines = []
+    for a, b in skip:
+        i, j = np.searchsorted(found[:, 0], (a, b))
+        within[i:j] = True
+        lines.append(found[i:j])
+    return [found[~within], *(x for x in lines if len(x))]
+
+
+_MISREAD = str.maketrans("01|!5", "olils")
+_SHORT = {"mr", "ms", "mrs", "dr", "sr", "sra", "mme", "m", "st", "núm", "apto", "apt", "soc", "det", "sgt", "lt", "cpl", "ofc", "prof", "no", "tel", "ave", "rd", *"abcdefghijklmnoprstvwyzé"}
 
 
 @lru_cache(maxsize=1 << 17)
@@ -82,103 +90,229 @@ def _word(w: str) -> tuple[int, ...]:
     return tuple(linear.bucket(n, 1 << 31) for n in names)
 
 
-_MISREAD = str.maketrans("01|!5", "olils")
-
-
-def features(text: str, at: list[tuple[int, int]]) -> np.ndarray:
-    """Buckets of the features of every token: its own, its neighbours' up to four places away, and the gaps between them."""
-    n = len(at)
-    own = np.array([_word(text[a:b]) for a, b in at], np.uint64).reshape(n, 8)
-    gap = np.ones(n, np.uint64)  # 0 glued to the token before, 1 after a space, 2 on a new line
-    for i in range(1, n):
-        between = text[at[i - 1][1] : at[i][0]]
-        gap[i] = 0 if not between else 2 if "\n" in between else 1
-    pad = np.zeros((4, 8), np.uint64)
-    p = np.concatenate([pad, own, pad])
-    g = np.concatenate([np.full(4, 3, np.uint64), gap, np.full(5, 3, np.uint64)])
-
-    def w(k: int, c: int) -> np.ndarray:
-        return p[4 + k : 4 + k + n, c]
-
-    def s(k: int) -> np.ndarray:
-        return g[4 + k : 4 + k + n]
-
-    columns = [*(own[:, c] for c in range(8)), own[:, 0] + gap, own[:, 1] * np.uint64(5) + gap]
-    columns += [w(k, 0) for k in (-4, -3, -2, -1, 1, 2, 3, 4)] + [w(k, 1) for k in (-2, -1, 1, 2)]
-    columns += [_mix(w(-1, 0), w(0, 0)), _mix(w(0, 0), w(1, 0)), _mix(w(-1, 1), w(0, 1)), _mix(w(0, 1), w(1, 1)), _mix(w(-2, 0), w(-1, 0)), _mix(w(1, 0), w(2, 0))]
-    wide = [_mix(w(k, 1), s(k)) for k in range(-4, 5)]
-    columns += [_mix(wide[3], _mix(wide[4], wide[5])), _mix(_mix(wide[4], wide[5]), _mix(wide[6], wide[7])), _mix(_mix(wide[1], wide[2]), _mix(wide[3], wide[4]))]
-    columns += [_mix(_mix(_mix(wide[0], wide[1]), _mix(wide[2], wide[3])), wide[4]), _mix(_mix(_mix(wide[4], wide[5]), _mix(wide[6], wide[7])), wide[8]), _mix(w(-1, 7), w(0, 7)), _mix(w(-1, 5), w(0, 1)), _mix(w(1, 4), w(0, 1))]
-    mixed = [_mix(c, np.uint64(0x9E3779B9 * (i + 1))) for i, c in enumerate(columns)]
-    return np.stack([((m ^ (m >> np.uint64(31))) >> np.uint64(7)).astype(np.int64) & (BUCKETS - 1) for m in mixed], 1)
-
-
 def _mix(a: np.ndarray, b) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (a * np.uint64(0xC2B2AE3D27D4EB4F) ^ (b + np.uint64(0x165667B1)) * np.uint64(0x9E3779B97F4A7C15)) + (a >> np.uint64(17))
 
 
+def _bucket(values: np.ndarray, column: int) -> np.ndarray:
+    m = _mix(values, np.uint64(0x9E3779B9 * (column + 1)))
+    return ((m ^ (m >> np.uint64(31))) >> np.uint64(7)).astype(np.int64) & (BUCKETS - 1)
+
+
+#: Features by column: 0 to 7 a token's own, 8 and 9 its word and shape with the gap before it, from 10 on the words up to PAD places away and the shapes up to two, from PAIRS on pairs and runs.
+PAD, PAIRS = 4, 22
+_AWAY = (-4, -3, -2, -1, 1, 2, 3, 4)
+_NEAR = (-2, -1, 1, 2)
+
+
+class Tokens:
+    """Tokens of many streams laid end to end with PAD empty ones around each, their hashes and the gaps between them."""
+
+    def __init__(self, texts: list[str], of: list[int], ats: list[np.ndarray]):
+        words, gaps, ends = [""] * PAD, [np.full(PAD, 3, np.int64)], []
+        self.starts, at = [], PAD
+        for k, spans in zip(of, ats):
+            text = texts[k]
+            words += [text[a:b] for a, b in spans.tolist()]
+            words += [""] * PAD
+            gap = np.ones(len(spans) + PAD, np.int64)  # 0 glued to the token before, 1 after a space, 2 on a new line
+            gap[len(spans) :] = 3
+            if len(spans) > 1:
+                before, first = spans[:-1, 1], spans[1:, 0]
+                gap[1 : len(spans)][before == first] = 0
+                if "\n" in text:
+                    breaks = np.array([m.start() for m in re.finditer("\n", text)])
+                    gap[1 : len(spans)][np.searchsorted(breaks, first) > np.searchsorted(breaks, before)] = 2
+            gaps.append(gap)
+            self.starts.append(at)
+            at += len(spans) + PAD
+        self.words, self.gap = words, np.concatenate(gaps)
+        self.sizes = [len(x) for x in ats]
+        self.at = np.concatenate([np.arange(a, a + n) for a, n in zip(self.starts, self.sizes)]) if self.starts else np.zeros(0, np.int64)
+        distinct: dict[str, int] = {}
+        self.ids = np.fromiter((distinct.setdefault(w, len(distinct)) for w in words), np.int64, len(words))
+        self.distinct = list(distinct)
+        self.own = np.array([_word(w) if w else (0,) * 8 for w in self.distinct], np.uint64).reshape(-1, 8)
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        """Values of the columns from PAIRS on."""
+        own, gap, ids = self.own, self.gap.astype(np.uint64), self.ids
+
+        def w(k: int, c: int) -> np.ndarray:
+            return own[ids[self.at + k], c]
+
+        word, shape = {k: w(k, 0) for k in range(-2, 3)}, {k: w(k, 1) for k in range(-4, 5)}
+        yield from (_mix(word[-1], word[0]), _mix(word[0], word[1]), _mix(shape[-1], shape[0]), _mix(shape[0], shape[1]), _mix(word[-2], word[-1]), _mix(word[1], word[2]))
+        wide = {k: _mix(shape[k], gap[self.at + k]) for k in range(-4, 5)}
+        back, ahead = _mix(wide[-1], wide[0]), _mix(wide[0], wide[1])
+        yield from (_mix(wide[-1], ahead), _mix(ahead, _mix(wide[2], wide[3])), _mix(_mix(wide[-3], wide[-2]), back))
+        yield from (_mix(_mix(_mix(wide[-4], wide[-3]), _mix(wide[-2], wide[-1])), wide[0]), _mix(_mix(ahead, _mix(wide[2], wide[3])), wide[4]))
+        yield from (_mix(w(-1, 7), w(0, 7)), _mix(w(-1, 5), shape[0]), _mix(w(1, 4), shape[0]))
+
+    def features(self) -> np.ndarray:
+        """Buckets of all features of every token, one column per kind."""
+        own, ids, at = self.own, self.ids, self.at
+        gap = self.gap[at].astype(np.uint64)
+        columns = [own[ids[at], c] for c in range(8)] + [own[ids[at], 0] + gap, own[ids[at], 1] * np.uint64(5) + gap]
+        columns += [own[ids[at + k], 0] for k in _AWAY] + [own[ids[at + k], 1] for k in _NEAR] + list(self.pairs())
+        return np.stack([_bucket(c, i) for i, c in enumerate(columns)], 1)
+
+    def scores(self, field: crf.Field) -> np.ndarray:
+        """The field's label scores of every token: those of single words are looked up by distinct word, pairs by token."""
+        emit = field.emit
+        alone = sum(emit[_bucket(self.own[:, c], c)] for c in range(8))
+        gapped = np.stack([alone + emit[_bucket(self.own[:, 0] + np.uint64(g), 8)] + emit[_bucket(self.own[:, 1] * np.uint64(5) + np.uint64(g), 9)] for g in range(3)], 1)
+        out = gapped[self.ids[self.at], self.gap[self.at]]
+        for i, k in enumerate(_AWAY):
+            there = emit[_bucket(self.own[:, 0], 10 + i)]
+            if k in _NEAR:
+                there = there + emit[_bucket(self.own[:, 1], 10 + len(_AWAY) + _NEAR.index(k))]
+            out += there[self.ids[self.at + k]]
+        for i, values in enumerate(self.pairs()):
+            out += emit[_bucket(values, PAIRS + i)]
+        return out
+
+    def chains(self) -> np.ndarray:
+        """Lengths of the chains that streams are cut into, at ends of sentences alone; features look beyond them."""
+        end = np.array([w in (".", "!", "?") for w in self.distinct], bool)
+        short = np.array([w.lower() in _SHORT for w in self.distinct], bool)
+        ids, at, out = self.ids, self.at, []
+        can = np.flatnonzero((self.gap[at] > 0) & end[ids[at - 1]] & ~short[ids[at - 2]])
+        begins = np.cumsum([0, *self.sizes])
+        k = 0
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            while k < len(can) and can[k] <= a:
+                k += 1
+            begin = a
+            while k < len(can) and can[k] < b:
+                if can[k] - begin > 12:
+                    out.append(can[k] - begin)
+                    begin = can[k]
+                k += 1
+            if b > begin:
+                out.append(b - begin)
+        return np.array(out, np.int64)
+
+
+Example = tuple[str, list[tuple[int, int, str]]]
+
+
+def _labelled(rows: list[Example], recurring: list[Collection[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, lengths of chains) of texts with spans."""
+    texts, of, ats = _streams([t for t, _ in rows], recurring)
+    tokens = Tokens(texts, of, ats)
+    labels = []
+    for k, at in zip(of, ats):
+        tags = np.zeros(len(at), np.int64)
+        for a, b, kind in rows[k][1]:
+            i, j = np.searchsorted(at[:, 1], a, side="right"), np.searchsorted(at[:, 0], b)
+            if i < j:
+                tags[i:j] = LABELS.index(f"I-{kind}")
+                tags[i] = LABELS.index(f"B-{kind}")
+        labels.append(tags)
+    y, lengths = np.concatenate(labels), tokens.chains()
+    first = np.cumsum(lengths) - lengths
+    inside = y[first]
+    y[first] = np.where((inside > 0) & (inside % 2 == 0), inside - 1, inside)  # a chain cannot begin within a span
+    return tokens.features(), y, lengths
+
+
+def _streams(texts: list[str], recurring: list[Collection[int]] | None) -> tuple[list[str], list[int], list[np.ndarray]]:
+    of, ats = [], []
+    for k, (t, r) in enumerate(zip(texts, recurring or [()] * len(texts))):
+        for at in streams(t, r):
+            of.append(k)
+            ats.append(at)
+    return texts, of, ats
+
+
 @lru_cache(maxsize=2)
 def model(sentences: int = SENTENCES) -> crf.Field:
-    """The field, fitted once per driver on the labelled table; no part of it comes from the data."""
-    field = crf.Field(LABELS, BUCKETS)
-    x, y, lengths = [], [], []
-    for text, spans in personal_table.rows(sentences):
-        at = tokens(text)
-        tags = ["O"] * len(at)
-        for a, b, kind in spans:
-            inside = [i for i, (u, v) in enumerate(at) if u < b and v > a]
-            for i in inside:
-                tags[i] = ("B-" if i == inside[0] else "I-") + kind
-        x.append(features(text, at))
-        y += [LABELS.index(t) for t in tags]
-        lengths.append(len(at))
-    return field.fit(np.concatenate(x), np.array(y), np.array(lengths))
-
-
-def chains(text: str, at: list[tuple[int, int]]) -> list[int]:
-    """Lengths of the chains a token list is cut into: at sentence ends, or else after CHAIN tokens at a space."""
-    out, begin = [], 0
-    for i in range(1, len(at)):
-        n = i - begin
-        a, b = at[i - 1]
-        glued = at[i][0] == b
-        if not glued and (text[a:b] in ".!?" and n > 12 and text[at[i - 2][0] : at[i - 2][1]].lower() not in _SHORT and b - a == 1 or n >= CHAIN and text[at[i][0]].islower() and text[a].islower() or n >= 4 * CHAIN):
-            out.append(n)
-            begin = i
-    out.append(len(at) - begin)
-    return out
+    """The field, fitted once per driver on the labelled table."""
+    return crf.Field(LABELS, BUCKETS).fit(*_labelled(personal_table.rows(sentences)))
 
 
-_SHORT = {"mr", "ms", "mrs", "dr", "sr", "sra", "m", "st", "núm", "apto", "soc", "det", "sgt", "no", *"abcdefghijklmnoprstvwyzé"}
+def adapted(field: crf.Field, given: list[tuple[str, Collection[int], list[tuple[int, int, str, str]]]]) -> crf.Field:
+    """``field`` fitted a second time on texts with the entities (start, end, type, provider) that detectors gave for them.
+
+    Entities are incomplete and partly wrong. Providers of which the field finds fewer than half of the
+    spans are not believed. Spans of the others are taken over, and those that the field finds besides,
+    unless its word or a neighbouring word is one whose spans the entities never confirm.
+    """
+    texts, recurring = [t for t, _, _ in given], [r for _, r, _ in given]
+    found = spans_of(texts, field, recurring)
+    hits: dict[str, list[int]] = {}
+    for own, (_, _, entities) in zip(found, given):
+        for a, b, kind, provider in entities:
+            if kind in TYPES:
+                n = hits.setdefault(provider, [0, 0])
+                n[0] += any(k == kind and s < b and e > a for s, e, k in own)
+                n[1] += 1
+    believed = {p for p, (n, all_) in hits.items() if n * 2 >= all_}
+    sure = [[(a, b, kind) for a, b, kind, p in sorted(set(entities)) if p in believed and kind in TYPES] for _, _, entities in given]
+
+    def signs(text: str, a: int, b: int, kind: str) -> list[tuple[str, str, str]]:
+        words = re.findall(r"[^\W\d_]+", text[a:b].lower()) if kind == "PERSON_NAME" else []
+        before, after = re.search(r"(\w+|[^\w\s])\s*$", text[max(0, a - 30) : a]), re.match(r"\s*(\w+|[^\w\s])", text[b : b + 30])
+        return [(kind, "word", w) for w in words] + [(kind, "before", before.group(1).lower() if before else "^"), (kind, "after", after.group(1).lower() if after else "$")]
+
+    counts: dict[tuple[str, str, str], list[int]] = {}
+    for text, own, known in zip(texts, found, sure):
+        for a, b, kind in own:
+            ok = any(s < b and e > a and k == kind for s, e, k in known)
+            for sign in signs(text, a, b, kind):
+                n = counts.setdefault(sign, [0, 0])
+                n[0] += ok
+                n[1] += 1
+    never = {sign for sign, (n, all_) in counts.items() if all_ >= KNOWN and n < LEAST * all_}
+    rows = []
+    for text, own, known in zip(texts, found, sure):
+        spans, end = [], 0
+        for a, b, kind in sorted(known + [s for s in own if not any(x < s[1] and y > s[0] for x, y, _ in known) and never.isdisjoint(signs(text, *s))], key=lambda s: (s[0], -s[1])):
+            if a >= end:
+                spans.append((a, b, kind))
+                end = b
+        rows.append((text, spans))
+    x, y, lengths = _labelled(rows, recurring)
+    own = _labelled(personal_table.rows(SENTENCES // 2, seed=7))
+    return field.copy().fit(np.concatenate([x, own[0]]), np.concatenate([y, own[1]]), np.concatenate([lengths, own[2]]), epochs=2)
 
 
 def spans_of(texts: list[str], field: crf.Field, recurring: list[Collection[int]] | None = None) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, type) of each text; ``recurring`` has the lines of each that recur in the corpus."""
-    ats = [tokens(t, r) for t, r in zip(texts, recurring or [()] * len(texts))]
-    lengths = [chains(t, at) if at else [] for t, at in zip(texts, ats)]
-    scores = [field.scores(features(t, at)) for t, at in zip(texts, ats) if at]
-    tags = field.decode(np.concatenate(scores), np.array([n for ns in lengths for n in ns])) if scores else np.zeros(0, int)
-    out, k = [], 0
-    for text, at in zip(texts, ats):
-        found, open_ = [], None
-        for i, (a, b) in enumerate(at):
-            tag = LABELS[tags[k + i]]
-            if tag[0] == "I" and open_ and open_[2] == tag[2:]:
-                open_[1] = b
-                continue
-            if open_:
-                found.append(tuple(open_))
-            open_ = [a, b, tag[2:]] if tag != "O" else None
+    _, of, ats = _streams(texts, recurring)
+    tokens = Tokens(texts, of, ats)
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    if not len(tokens.at):
+        return out
+    tags = field.decode(tokens.scores(field), tokens.chains())
+    flat, stream = np.concatenate(ats), np.repeat(np.arange(len(ats)), tokens.sizes)
+    raw: dict[int, list[tuple[int, int, str]]] = {}
+    open_: list | None = None
+    for i in np.flatnonzero(tags).tolist():
+        tag, (a, b) = LABELS[tags[i]], flat[i].tolist()
+        if tag[0] == "I" and open_ and open_[2] == tag[2:] and open_[3] == i - 1 and open_[4] == stream[i]:
+            open_[1], open_[3] = b, i
+            continue
         if open_:
-            found.append(tuple(open_))
-        k += len(at)
-        out.append([s for s in (checked(text, *s) for s in parted(text, found)) if s])
-    return out
+            raw.setdefault(open_[4], []).append((open_[0], open_[1], open_[2]))
+        open_ = [a, b, tag[2:], i, stream[i]]
+    if open_:
+        raw.setdefault(open_[4], []).append((open_[0], open_[1], open_[2]))
+    for k in sorted(raw):
+        text, held = texts[of[k]], out[of[k]]
+        spans = [s for s in (checked(text, *s) for s in parted(text, raw[k])) if s]
+        held += [s for s in spans if not any(a < s[1] and b > s[0] for a, b, _ in held)] if held else spans
+    return [sorted(spans) for spans in out]
 
 
 _ROLE = re.compile(r"(?:(?:adjuster|officer|witness|trooper|sergeant|deputy|mr|ms|mrs|dr|sr|sra|mme|testigo|témoin|agente)\b\.?\s+)+", re.I)
-_BOTH = re.compile(r"\s+(?:and|or|y|o|et|ou)\s+(?=[(+\d]|five|one|two|three|four|six|seven|eight|nine|oh)", re.I)
+_MAIL = re.compile(r"(?:[@＠]|\bat\b).*?(?:\.|\bdot\b|\b[dp]unto\b|\bpoint\b)", re.I | re.S)
+# Numerals of the three languages.
+_NUMERALS = "oh|zero|one|two|three|four|five|six|seven|eight|nine|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf"
+_SPOKEN = re.compile(rf"\b(?:{_NUMERALS})\b", re.I)
+_BOTH = re.compile(rf"\s+(?:and|or|y|o|et|ou)\s+(?=[(+\d]|(?:{_NUMERALS})\b)", re.I)
 
 
 def parted(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -202,21 +336,38 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int, str]
         start, value = start + 1, value[1:]
     if kind == "PERSON_NAME" and (m := _ROLE.match(value)):
         start, value = start + m.end(), value[m.end() :]
-    if kind in ("PHONE_NUMBER", "SSN", "DRIVER_LICENSE") and (text[start - 1 : start].isalnum() and start or text[end : end + 1].isalnum() or len(value) > 60):
+    if kind in ("PHONE_NUMBER", "SSN", "DRIVER_LICENSE") and (start and text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()):
         return None  # part of a longer code
     digits = sum(c.isdigit() for c in value)
-    if kind == "EMAIL" and not re.search(r"@|＠|\bat\b", value, re.I):
-        return None
-    if kind == "PHONE_NUMBER" and digits < 7 and not re.search(r"\bfive\b|\boh\b|\bone\b", plain(value), re.I):
+    spoken = digits + len(_SPOKEN.findall(plain(value)))
+    if kind == "EMAIL":
+        if not _MAIL.search(value):
+            return None
+        sign = re.search(r"[^\s(<\[]*[@＠]", value)  # nothing but the local part stands before the sign
+        if sign and sign.start() and len(sign.group()) > 1:
+            start, value = start + sign.start(), value[sign.start() :]
+    if kind == "PHONE_NUMBER" and spoken < 7:
         return None
-    if kind == "SSN" and digits < 6 or kind == "DRIVER_LICENSE" and digits < 4 or kind == "ADDRESS" and not digits:
+    if kind == "SSN" and spoken < 6 or kind == "DRIVER_LICENSE" and digits < 4 or kind == "ADDRESS" and not digits:
         return None
     return (start, end, kind) if value and any(c.isalnum() for c in value) else None
 
 
-def shipped(rows: DataFrame):
-    """The field, fitted on the driver, as a broadcast variable: BUCKETS times the labels, 7 MB."""
-    return rows.sparkSession.sparkContext.broadcast(model())
+def shipped(rows: DataFrame, entities: DataFrame | None):
+    """The field, fitted on the driver, as a broadcast variable: BUCKETS times the labels, 7 MB.
+
+    ``rows`` has narrative_id, text and recurring. With ``entities`` it is fitted a second time, on at
+    most SAMPLE narratives.
+    """
+    field = model()
+    if entities is not None:
+        picked = rows.where("text <> ''").orderBy(F.xxhash64("narrative_id"), "narrative_id").limit(SAMPLE)
+        spans = entities.where("start_offset >= 0 and end_offset > start_offset").select("narrative_id", F.struct("start_offset", "end_offset", "entity_type", F.coalesce("provider", F.lit("")).alias("provider")).alias("e"))
+        joined = picked.join(spans, "narrative_id", "left").groupBy("narrative_id").agg(F.first("text").alias("text"), F.first("recurring").alias("recurring"), F.array_sort(F.collect_set("e")).alias("es"))
+        given = [(r.text, r.recurring, [tuple(e) for e in r.es]) for r in joined.orderBy("narrative_id").collect()]
+        if any(es for _, _, es in given):
+            field = adapted(adapted(field, given), given)
+    return rows.sparkSession.sparkContext.broadcast(field)
 
 
 def _rows(narratives: DataFrame, recurring: DataFrame | None) -> DataFrame:
@@ -226,17 +377,19 @@ def _rows(narratives: DataFrame, recurring: DataFrame | None) -> DataFrame:
     return rows.join(recurring, "narrative_id", "left").withColumn("recurring", F.coalesce("recurring", F.array().cast("array<int>")))
 
 
-def find(narratives: DataFrame, recurring: DataFrame | None = None, batch: int = 256) -> DataFrame:
+def find(narratives: DataFrame, recurring: DataFrame | None = None, entities: DataFrame | None = None, batch: int = 256) -> DataFrame:
     """(narrative_id, entity_type, start_offset, end_offset): every span in the text of a narrative, each once.
 
     Offsets are code points of the text as delivered. Null and empty texts have no spans. Redelivered
-    rows count once. Every whole text is decoded, in chains; features look across their ends. Only
-    page numbers and the headers among ``recurring`` (narrative_id, recurring: numbers of lines) are left out.
+    rows count once. Every whole text is decoded, sentence by sentence; features look across their ends.
+    Page numbers and the headers among ``recurring`` (narrative_id, recurring: numbers of lines) are
+    decoded by themselves, so that the sentence they interrupt stays whole. ``entities`` (narrative_id,
+    start_offset, end_offset, entity_type, provider), as far as there are any, adapt the field to the data.
     """
-    rows = _rows(narratives, recurring).where("text <> ''")
+    rows = cut(_rows(narratives, recurring).where("text <> ''"))
     key = narratives.schema["narrative_id"].dataType.simpleString()
 
-    weights = shipped(narratives)
+    weights = shipped(rows, entities)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = weights.value
@@ -250,12 +403,12 @@ def find(narratives: DataFrame, recurring: DataFrame | None = None, batch: int =
     return rows.mapInPandas(decode, f"narrative_id {key}, entity_type string, start_offset int, end_offset int")
 
 
-def masked(narratives: DataFrame, recurring: DataFrame | None = None, batch: int = 256) -> DataFrame:
+def masked(narratives: DataFrame, recurring: DataFrame | None = None, entities: DataFrame | None = None, batch: int = 256) -> DataFrame:
     """(narrative_id, text): texts with spans replaced by [TYPE] and all else unchanged; null stays null, empty stays empty."""
-    rows = _rows(narratives, recurring)
+    rows = cut(_rows(narratives, recurring))
     key = narratives.schema["narrative_id"].dataType.simpleString()
 
-    weights = shipped(narratives)
+    weights = shipped(rows, entities)
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = weights.value

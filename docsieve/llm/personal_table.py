@@ -1,62 +1,64 @@
-"""The small labelled table of problem 2: sentences with labelled slots, and what fills them."""
+"""The small labelled table of problem 2, written for it: frames with labelled slots, and random words to fill them.
+
+No frame and no list of names is taken from the data. Names are put together from syllables or taken
+from common ones of several languages, so that the field has to look at what stands around them.
+"""
 
 from __future__ import annotations
 
 import random
+import re
 
 GIVEN = [
-    "Dario", "Priya", "Iñaki", "Halvard", "Neda", "Thandi", "Zoé", "Yuki", "Tavi", "Kofi", "Renzo", "Tobin", "Petra", "Égide", "Odile", "Noemi", "Corwin", "Ruvim", "Casimir", "Wren", "Joren", "Sable", "Solène", "Ingrid", "Bram",
-    "Marta", "Matteo", "Leocadia", "Anselm", "Sunniva", "Elsbet", "Farida", "Ilse", "Amadou", "Maria", "John", "Lucía", "Pierre", "Aisha", "Chen", "Olga", "Tomás", "Fatima", "Ivan", "Nora", "Hugo", "Lena", "Pavel",
+    "Anna", "Peter", "Linda", "George", "Susan", "Ahmed", "Mei", "Carlos", "Elena", "Jorge", "Claire", "Antoine", "Hélène", "François", "José", "Inés", "Raúl", "Greta", "Lars", "Ewa", "Milan", "Oksana", "Deepak", "Anjali", "Kwame", "Zainab",
+    "Hiro", "Sakura", "Tomasz", "Björn", "Chloé", "Mateo", "Ximena", "Walter", "Doris", "Kevin", "Brandy", "Omar", "Leila", "Sven", "Amélie", "Nikola", "Rosa", "Emeka", "Ravi", "Gwen", "Ulrich", "Vera",
+]
+SURNAMES = [
+    "Miller", "Brown", "Nguyen", "Patel", "Kowalski", "Schmidt", "Rossi", "Okafor", "Tanaka", "García", "Fernández", "Lefèvre", "Moreau", "Haddad", "Larsen", "Novak", "Petrov", "Adeyemi", "Hughes", "Baker", "Castillo", "Ibáñez", "Dubois", "Weber",
+    "Bianchi", "Kaur", "Lindqvist", "Popescu", "Stewart", "Yamada", "Muñoz", "Girard", "Hoffman", "Osei", "Sharma", "Turner", "Vargas", "Whitaker", "Zhang", "Abbott",
 ]
-_HEADS = ["Fenn", "Marr", "Ostr", "Vel", "Ned", "Wex", "Thal", "Jor", "Yar", "Sorv", "Quil", "Kal", "Bren", "Grav", "Hask", "Pell", "Rusk", "Lind", "Tov", "Zim", "Dor", "Ulm"]
-_TAILS = ["akis", "ardo", "uez", "wick", "itz", "stral", "ellic", "ettin", "andry", "omby", "áñez", "oza", "ifu", "inski", "anov", "arek"]
-_STREETS = ["Copperfield", "Granite", "Foxhollow", "Tannery", "Marlow", "Larkspur", "Cinder", "Bramble", "Prairie", "Sablewood", "Juniper", "Oldmill", "Stonebridge", "Lantern", "Meridian", "Vesper", "Ferry", "Birchen", "Quarry", "Kestrel", "Halyard", "Wicker", "Main", "Church", "Elm"]
-_KINDS = ["Street", "St", "Avenue", "Ave", "Road", "Rd", "Boulevard", "Blvd", "Drive", "Dr", "Lane", "Ln", "Court", "Ct", "Parkway", "Pkwy", "Way", "Terrace"]
-_TOWNS = ["Port Sable", "Dunmarsh", "Ostmere", "Harrowmoor", "Tamrick", "North Quill", "Kestrel Falls", "Vale Center", "Springfield"]
-_CARS = ["Ostro sedan", "Tessaro 400", "Halden Rover", "Volenta SUV", "Garrick box truck", "Maru pickup", "Pellworth coupe", "Corvane Lynx", "Brightline van", "Nimbus hatchback"]
-_COLORS = ["black", "red", "gray", "white", "green", "maroon", "blue", "tan", "silver"]
-_BUSINESS = ["Tollivar Towing", "Halyard Garage", "Brask & Wend Wrecker Service", "Redvane Recovery", "Port Sable General", "Quill Valley Medical Center", "Saint Wendrake Hospital", "Tamrick County Clinic"]
-_HOSTS = ["example.com", "example.net", "mail.example", "post.example.org", "inbox.example.com", "records.test", "quillnet.invalid", "corp.example.co"]
-_DIGITS = ["oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
-_TITLES = ["Mr. ", "Ms. ", "Mrs. ", "Dr. ", "Mr. ", "Ms. "]
-
-# Labelled sentences. Slots in angle brackets are spans of the type named; those in braces are filled and not labelled.
-SENTENCES = [
-    "<N> was cited for following too closely.", "<N> stated that the other vehicle drifted across the center line without signaling.", "<N> advised there was no time to brake before the impact.",
-    "<N> smelled of nothing unusual and completed the standard field evaluation without difficulty.", "<N> remained on scene until the diagram was completed.", "<N> said the brakes felt soft and that the pedal went to the floor.",
-    "<N> provided a short dashboard recording to the investigating officer.", "<N> was wearing a lap-and-shoulder belt, and the head restraint was adjusted too low.", "<N> held the door open until the rescue team took over.",
-    "<N> declined medical attention but later called to report {X}.", "<N> was transported to {BIZ} with {X}.", "<N> complained of {X} and was evaluated at the scene.", "<N> had slowed for a school bus that was loading at {ST}.",
-    "<N> was stopped at the intersection of {ST} and {ST} waiting to turn left.", "<N> misjudged the gap and turned in front of the {COLOR} {CAR}.", "<N> thought the signal at {ST} had been malfunctioning for several days.",
-    "<N> was operating a {COLOR} {CAR} {DIR} on {ST}.", "According to <N>, the {COLOR} {CAR} accelerated through the yellow signal.", '<N> had "no idea how it happened..."', '<S> had "no idea how it happened..."', '<G> had "no idea how it happened..."',
-    "<N> kept repeating the number <PHONE_NUMBER> to the dispatcher.", "<N> can be reached at <PHONE_NUMBER> after working hours.", "Next of kin <N> was informed by phone (<PHONE_NUMBER>).", "Next of kin <N> was informed by phone <PHONE_NUMBER>.",
-    "Messages left at <PHONE_NUMBER> and <PHONE_NUMBER> were not answered.", "Contact for follow-up: <PHONE_NUMBER>, <EMAIL>.", "Please write to <EMAIL> for the dashcam clip.", "Adjuster <N> (<EMAIL>) called twice about the {CAR}.",
-    "Officer <N> measured the roadway width as {N} feet.", "Witness <N> was walking a dog near {ST} and saw the whole collision.", "The return lists <N> of <ADDRESS> as registered owner.", "<N> resides at <ADDRESS>.",
-    "<N> lives next door to the crash site, <ADDRESS>, and heard the impact.", "Copies should be mailed to <ADDRESS> within ten days.", "<N> gave the social security number <SSN> for the claim form.", "<N>, soc. <SSN>, was not carrying any card.",
-    "Tax ID or social given as <SSN>; license <DRIVER_LICENSE>.", "<N> produced an operator license, number <DRIVER_LICENSE>, which was valid.", "DL <DRIVER_LICENSE> on the return matched <N>.", "My sister and I ran over to help <N>, who was shaking.",
-    "SSN <SSN> was written on the card of <N>.", "Driver's license <DRIVER_LICENSE> was returned to <N>.", "Trooper <N> and Sergeant <N> closed the lane.", "The passenger, <N>, called <N> at <PHONE_NUMBER>.", "I spoke with <N> and with <N> at the hospital.",
-    "Según <N>, la calzada estaba mojada y había poca iluminación.", "El testigo <N> observó la colisión desde la acera de enfrente.", "<N> giró a la izquierda sin esperar la flecha verde.", "<N> fue trasladado a {BIZ} con dolor en el cuello.",
-    "<N> no quiso ser atendido por el personal de la ambulancia.", "El teléfono de <N> es <PHONE_NUMBER> y su correo <EMAIL>.", "<N> vive en <ADDRES>.", "El agente anotó la licencia <DRIVER_LICENSE> en el formulario.", "Por lo que se sabe, según <N>, la calzada estaba mojada.",
-    "Le témoin <N> a filmé la scène depuis le trottoir.", "On peut joindre <N> au <PHONE_NUMBER> ou à <EMAIL>.", "Le permis <DRIVER_LICENSE> a été noté sur le formulaire.", "<N> reconnaît avoir regardé son téléphone juste avant le choc.", "<N> s'est arrêté à l'intersection.",
-    "<N> n'a pas respecté la priorité en sortant du parking.", "<N> a été transporté à l'hôpital pour des douleurs au dos.", "<N> habite au <ADDREF>.", "Hacia las {TIME}, <N> vive en <ADDRES>.", "Selon <N>, le feu clignotait.",
+_FIRST = ["al", "be", "cru", "da", "el", "fo", "gri", "ha", "ir", "jo", "ku", "lo", "man", "ni", "or", "pra", "qua", "ro", "sil", "ta", "ur", "vo", "wil", "ya", "ze", "ston", "mur", "hol", "bar", "tel"]
+_MORE = ["ba", "den", "fa", "go", "li", "mar", "na", "pe", "ri", "so", "tu", "va", "lin", "do", "ka", "mo", "ne", "rro", "ze", "ñi", "lé", "stra", "ndo", "lli"]
+_END = ["n", "s", "son", "ez", "er", "ski", "ova", "ini", "berg", "ton", "ard", "ois", "eau", "man", "ic", "os", "ia", "wood", "ley", "ko", "dal", "ham", "itz", "ero", "ák", "és"]
+_STREETS = ["Cedar", "Hillcrest", "Walnut", "Lakeview", "Sunset", "Mulberry", "Harbor", "Willow", "Chestnut", "Mill", "Park", "River", "Spring", "Highland", "Washington", "Lincoln", "Orchard", "Dogwood", "Pine", "Market", "Canal", "Bayview", "Old Post", "Rose Garden"]
+_KINDS = ["Street", "St", "St.", "Avenue", "Ave", "Road", "Rd", "Boulevard", "Blvd", "Drive", "Dr", "Lane", "Ln", "Court", "Ct", "Parkway", "Pkwy", "Way", "Terrace", "Place", "Circle", "Trail"]
+_TOWNS = ["Fairview", "Lake Arden", "Bridgeton", "East Hollow", "Clearwater", "Mount Vesta", "San Aurelio", "Bellport", "Three Rivers", "New Carden", "Port Elin", "Grand Forks"]
+_CARS = ["Ford pickup", "Honda Civic", "Toyota van", "Chevrolet coupe", "Kia Soul", "Mazda 3", "Volvo wagon", "Jeep", "Nissan SUV", "Hyundai sedan", "Subaru hatchback", "Dodge Ram", "Arvana 200 sedan", "Mirello sports car", "Delton box van"]
+_COLORS = ["yellow", "brown", "orange", "purple", "dark blue", "beige", "gold", "black", "white", "grey", "red"]
+_ENDS = ["Towing", "Auto Body", "Garage", "Recovery", "Wrecker Service", "Collision Center", "Hospital", "Medical Center", "Clinic", "Insurance", "Motors", "& Sons Repair", "Ambulance", "Freight", "Bakery", "General", "High School", "Church", "Tire Shop", "County Hospital"]
+_AGENCIES = ["Highway Patrol", "Sheriff's Office", "Fire Department", "Police Department", "County Roads Office", "State Police", "Records Unit", "Transit Authority"]
+_HOSTS = ["gmx.test", "mailbox.org", "webpost.net", "company.biz", "uni.edu", "agency.gov", "freemail.co", "letters.example", "mx.example.org", "net.invalid"]
+_WORDS = {
+    "en": ["oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero"],
+    "es": ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"],
+    "fr": ["zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"],
+}
+_TITLES = ["Mr. ", "Ms. ", "Mrs. ", "Dr. ", "Mr ", "Miss ", "Prof. "]
+_RANKS = ["Officer ", "Deputy ", "Sgt. ", "Det. ", "Trooper ", "Captain ", "Lt. ", "Cpl. ", "Sergeant ", "Investigator ", "Inspector ", "Ofc. "]
+
+# Labelled frames. Slots in angle brackets are spans of the type named; those in braces are filled and not labelled.
+# N a person in any form, F a full name, P a surname or given name alone, R a rank and a name.
+FRAMES = [
+    # persons, at the beginning
+    "<N> told us the lane was clear.", "<N> says it was dark.", "<N> did not want a doctor.", "<N> drove a {COLOR} {CAR} {DIR}.", "<N> got out and waved.", "<N> had the green light, two people agree.", "<N> saw {COLOR} smoke.", "<N> braked hard near {ST}.", "<N> pulled over by {BIZ}.", "<N> wore no helmet.", "<N> owns the {CAR}.",
+    "<N> apologised for the delay.", "<N> left before the crew came.", "<N> was shaken but unhurt.", "<N> was taken to {BIZ}.", "<N> was given a ticket.", "<N> was looking for {ST}.", "<N> was asleep in the rear.", "<N> has {X}.", "<N> could not recall the color.", "<N> reported {X} and went home.", "<N> and <N> swapped papers.", "<N>, the passenger, kept quiet.", "<N> \"never saw it coming\".", "<P> \"never saw it coming\".", "<P> agreed with that.", "<P> admitted the error.", "<P> helped to push the car.",
+    "<N> keeps a copy.", "<N> would like to be called at <PHONE_NUMBER>.", "<N> may be reached on <PHONE_NUMBER> in the morning.", "<N> lives at <ADDRESS>.", "<N> of <ADDRESS> owns the {CAR}.", "<N> moved to <ADDRESS> in May.", "<N> has SSN <SSN>.", "<N> (SSN <SSN>) signed.", "<N> showed license <DRIVER_LICENSE>.", "<N>, license no. <DRIVER_LICENSE>, is insured.", "<N> writes from <EMAIL>.",
+    # persons, within
+    "The driver, <N>, waited.", "The caller was <N>.", "A neighbor named <N> called it in.", "It belongs to <N>.", "We met <N> at the gate.", "According to the note, <N> turned left.", "As <N> put it, nobody could have stopped.", "Statement of <N> is attached.", "A talk with <N> is planned.", "I asked <N> about the tires.", "She married <N> last year.", "Her son <N> was in the back.", "His wife <N> drove.", "Injured: <N>.", "Owner: <N>", "Witness <N> heard a bang.", "Witnesses <N> and <N> heard a bang.", "Passenger <N> slept.", "Claimant <N> asks for a copy.", "Adjuster <N> will call.", "Adjuster <N> of {BIZ} will call.", "Adjuster <N>, <EMAIL>, will call.", "Reported by <R>.", "<R> closed the road.", "<R> took photographs.", "I, <R>, spoke with <N>.", "<R> and <R> arrived first.", "Paramedic <N> dressed the wound.", "The mother of <N> was told.", "The {CAR} of <N> was towed by {BIZ}.", "A nurse told <N> to rest.", "The bag of <N> was found on {ST}.", "Later <P> changed the story.", "Then <P> and <P> argued.", "We could not find <P>.", "In the end <P> paid.", "Both <P> and <P> were cited.", "Relatives of <N> were called at <PHONE_NUMBER>.", "Contact <N> at <EMAIL> or <PHONE_NUMBER>.",
+    # numbers and addresses
+    "Call <PHONE_NUMBER>.", "Phone: <PHONE_NUMBER>", "Cell <PHONE_NUMBER>, home <PHONE_NUMBER>.", "Phone numbers <PHONE_NUMBER> and <PHONE_NUMBER> do not work.", "Tel. <PHONE_NUMBER>", "The number given (<PHONE_NUMBER>) is out of service.", "Reach us under <PHONE_NUMBER> or <EMAIL>.", "A text came from <PHONE_NUMBER>.", "The office line is <PHONE_NUMBER>, ask for <N>.", "E-mail: <EMAIL>", "Photos go to <EMAIL>.", "Send it to <EMAIL>, please.", "He wrote from <EMAIL> on {TIME}.", "Social security no. <SSN>.", "SSN: <SSN>", "Soc. sec. <SSN> is on the card.", "The social is <SSN>.", "Taxpayer or social number <SSN>; driver license <DRIVER_LICENSE>.", "License <DRIVER_LICENSE> had expired.", "DL# <DRIVER_LICENSE>", "DL <DRIVER_LICENSE> came back valid.", "Operator's license <DRIVER_LICENSE>, class C.", "Driver's license number <DRIVER_LICENSE> belongs to <N>.", "The license with the number <DRIVER_LICENSE> was kept.", "Address: <ADDRESS>", "The house is at <ADDRESS>.", "Mail goes to <ADDRESS>.", "It happened outside <ADDRESS>, where <N> lives.", "Bills were sent to <ADDRESS> and came back.", "Residence <ADDRESS>.", "He gave <ADDRESS> as home.",
+    # Spanish and French
+    "<N> dijo que frenó a tiempo.", "<N> no recuerda nada.", "<N> conducía un {CAR} {COLOR}.", "<N> fue llevado a {BIZ}.", "<N> vio el choque desde la tienda.", "Declaró <N> que llovía.", "El conductor, <N>, esperó.", "La señora <N> llamó a su hija.", "El señor <N> pagó.", "Testigo: <N>.", "La testigo <N> oyó un golpe.", "Habló con <N> por teléfono.", "El agente <N> tomó fotos.", "Como dijo <N>, nadie pudo parar.", "Se avisó a <N> al <PHONE_NUMBER>.", "Teléfono: <PHONE_NUMBER>", "Su número es <PHONE_NUMBER> y escribe desde <EMAIL>.", "Correo: <EMAIL>", "Licencia <DRIVER_LICENSE> vigente.", "Mostró la licencia número <DRIVER_LICENSE>.", "Seguro social <SSN>.", "Domicilio: <ADDRES>.", "<N> reside en <ADDRES>.", "La casa está en <ADDRES>.", "<P> no quiso hablar.", "<P> esperó afuera.",
+    "<N> dit avoir freiné à temps.", "<N> ne se souvient de rien.", "<N> conduisait une {CAR}.", "<N> est resté sur place.", "<N> a vu le choc de la boutique.", "<N> s'est garé devant {BIZ}.", "<N> n'a rien vu.", "D'après <N>, il pleuvait.", "Le conducteur, <N>, attendait.", "Madame <N> a appelé sa fille.", "Monsieur <N> a payé.", "Témoin : <N>.", "Le témoin <N> a entendu un bruit.", "On a parlé avec <N> hier.", "L'agent <N> a pris des photos.", "Appeler <N> au <PHONE_NUMBER>.", "Téléphone : <PHONE_NUMBER>", "Son numéro est le <PHONE_NUMBER>, son courriel <EMAIL>.", "Courriel : <EMAIL>", "Permis <DRIVER_LICENSE> valable.", "Numéro de permis <DRIVER_LICENSE>.", "Adresse : <ADDREF>.", "<N> demeure au <ADDREF>.", "La maison est au <ADDREF>.", "<P> a refusé de parler.",
     # without spans
-    "The driver of Unit {D} admitted looking down at the radio.", "Unit {D} failed to yield while entering the roadway from a private driveway.", "Unit 1 was traveling {DIR} on {ST} at approximately {N} mph when the light changed.", "The posted limit along the 1400 block of {ST} is {N} mph.",
-    "Near the {GS} Memorial Highway overpass the surface was uneven and partly flooded.", "The detour followed the {GS} Memorial Highway as far as {TOWN}.", "Near the County Road {N} overpass the surface was uneven.", "The detour followed Route {N} as far as {TOWN}.",
-    "VIN {VIN} was verified against the registration.", "Plate {PLATE} returned clear.", "Policy QV-{D7} was active on the date of loss.", "CAD incident F{N}-{D5} was opened at {TIME}.", "Parts order {D3}-{N}-{D4} covers the windshield.", "Tow invoice {D3}-{N}-{D4} was issued by {BIZ}.",
-    "Badge {D4} assisted with traffic control.", "Odometer reading {D3},{D3} was recorded at the yard.", "Both vehicles were removed by {BIZ}.", "The sign on the fence advertised {BIZ} at exit {D3}.", "The clip was posted by the account @{STL}_dashcams the same evening.",
-    "The driver of the {CAR} was given a verbal warning for an expired inspection sticker.", "Both drivers agreed that the signal at {ST} was flashing.", "Traffic was diverted onto {ST} for about {N} minutes.", "A speed study of {ST} is on file and gives an average of {N} mph.",
-    "A traffic cone and two warning signs were knocked over near mile marker {D3}.", "The event data recorder reported {N}.{N} mph, throttle {N} percent, brake off.", "The guardrail along {ST} was bent over a length of {N} feet.", "The mailbox at the corner of {ST} was torn from its post.",
-    "The tire on the {COLOR} {CAR} showed a sidewall failure unrelated to the impact.", "Low beams of the {COLOR} {CAR} were on when the engine was checked.", "A second impact occurred when a following {CAR} was unable to stop.", "There was a T-bone impact followed by a rear-end contact with a parked {CAR}.",
-    "The roadway was cleared at {TIME}.", "Medical assistance was requested at {TIME} and arrived within minutes.", "The deer was struck at about {TIME} and ran into the adjacent field.", "A loose ladder fell from the {CAR} and landed in the {DIR} lane.", "Respectfully submitted, Badge {D4}",
-    "Scene cleared {TIME} hrs", "Case closed by unit {D4}", "Road conditions were wet with standing water at the time of the collision.", "No passengers were present in either vehicle.", "See diagram for details.", "The {COLOR} {CAR} sustained heavy damage to the trunk lid.",
-    "Debris was scattered over both lanes and the grassy median.", "Airbags deployed in Unit 1 but not in Unit 2.", "Unit 1 left {N} feet of skid marks before leaving the paved shoulder.", "The bicycle was found {N} feet east of the point of impact.", "Fluid leaking from the engine was covered with absorbent by the fire crew.",
-    "The front of Unit 1 struck the left rear quarter panel of Unit 2.", "It was agreed that insurance information would be exchanged at the station.", "The collision happened in the eastern half of the construction zone, where one lane is closed.", "The pedestrian entered the marked crosswalk at {ST} against the signal.",
-    "I photographed the final resting positions and the gouge marks in the asphalt, which is noted on page {N}.", "Records Division, {TOWN}, invoice {D5}, account {D7}.", "Sequence of positions, then {DIR} along {ST}, then past {ST}, then at {N} mph, then over {N} feet of gravel.", "Recorder data: spd={N};brk=1;spd={N};brk=0.", "Checksum {HEX} was stored.", "Upon arrival I observed both vehicles blocking the {DIR} lanes, no names given.", "In {TOWN} there was a detour.",
-    "La señal de tránsito estaba dañada desde el día anterior.", "El conductor admitió que miraba el teléfono momentos antes.", "Los bomberos cubrieron con arena el aceite derramado.", "La unidad 2 sufrió daños en la parte delantera y fue retirada por {BIZ}.", "Se midieron {N} metros de huellas de frenado sobre el asfalto.",
-    "El semáforo parpadeaba en amarillo según los dos conductores.", "La velocidad máxima en ese tramo es de {N} mph.", "La motocicleta resbaló sobre la grava y golpeó el {CAR} estacionado.", "Quedaron restos de vidrio sobre la calzada durante {N} minutos.", "El vehículo 2 no cedió el paso al salir de un estacionamiento.",
-    "Les pompiers ont nettoyé la chaussée pendant {N} minutes.", "La limite est de {N} milles à l'heure.", "La moto a glissé sur le gravier avant de heurter un {CAR} garé.", "Le choc a endommagé l'avant du véhicule et brisé une vitre latérale.", "Aucun passager n'a été blessé et la circulation a été rétablie.", "La chaussée est devenue glissante.",
+    "The {COLOR} {CAR} rolled back.", "The {CAR} was towed by {BIZ}.", "{BIZ} took the {CAR} away.", "A truck of {BIZ} blocked {ST}.", "The ad for {BIZ} hangs at {ST}.", "They met at {ST} and {ST}.", "{ST} was closed.", "Traffic on {ST} was slow.", "The curve of {ST} near {TOWN} is wet.", "In {TOWN} the road narrows.", "The {AGENCY} of {TOWN} came.", "{AGENCY} unit {N} came.", "{TOWN} {AGENCY}, form {D5}.", "The {GS} Bridge was icy.", "They took the {GS} Expressway to {TOWN}.", "{GS} Memorial Bridge is closed at night.", "The {GS} Parkway exit was flooded.", "{GS} Highway has two lanes.", "The 2300 block of {ST} has lights.", "In the {N}00 block of {ST} a tree fell.", "Route {N} and Highway {D3} cross here.", "County Road {N} is gravel.", "Exit {N} was shut.", "Mile {D3} on Interstate {N}.",
+    "VIN {VIN} was read twice.", "The VIN {VIN} belongs to the {CAR}.", "Plate {PLATE} was run.", "Tag {PLATE} is out of state.", "Policy {PLATE}{D5} lapsed.", "Policy no. {D3}-{D7} is active.", "Claim {D3}-{N}-{D4} is open.", "Invoice {D3}-{N}-{D4} was paid.", "Order number {D3}-{N}-{D4} is late.", "Case {N}-{D5} is closed.", "Incident {PLATE} at {TIME}.", "Ticket {D7} was voided.", "Badge {D4} wrote this.", "Unit {D4} assisted.", "Account {D7} was billed {D3} dollars.", "Mileage {D3},{D3}.", "Serial {HEX} was logged.", "Hash {HEX} matches.", "The tag @{STL}_news posted it.", "A post by @{STL}{N} shows the {CAR}.", "Meter {D5} was off.", "At {TIME} the road was open again.", "It was {TIME} when the crew left.", "About {N} feet of rail were bent.", "The speed was {N} mph.", "{N} percent of the brake was left.", "Speed={N};gear={D};door=0.", "See page {N}, photo {N}.", "Unit {D} hit Unit {D}.", "The driver of Unit {D} was calm.", "The driver of the {CAR} was calm.",
+    "Nobody was hurt.", "The road was dry and the sky was clear.", "Glass lay in both lanes.", "The pedestrian crossed in front of a bus.", "Several people helped.", "The Department asks for patience.", "No names were given.", "An Ambulance came at once.", "Both Drivers left.", "The Medical Center is near.", "Airbags opened.", "The Event Recorder was read.", "Photographs were taken by the crew.", "When asked, the driver shrugged.", "During the night it snowed.", "Because of the fog, nobody saw the pole.", "Estimated loss: {D4} dollars.", "Heading {DIR}, the {CAR} slid.", "Damage was light.", "Low tires were noted.", "Respectfully, unit {D}",
+    "El {CAR} se detuvo.", "La carretera estaba seca.", "La unidad {D} chocó con la unidad {D}.", "Los daños fueron leves.", "Nadie resultó herido.", "Cerca de {ST} hay una escuela.", "La grúa de {BIZ} llegó a las {TIME}.", "Se midieron {N} metros.", "Quedan {N} testigos.", "Según el mapa, hay {N} salidas.", "Por la noche nevó.", "Policía de {TOWN}, caso {D5}.",
+    "La {CAR} s'est arrêtée.", "La route était sèche.", "L'unité {D} a heurté l'unité {D}.", "Les dégâts sont légers.", "Personne n'est blessé.", "Près de {ST} il y a une école.", "La dépanneuse de {BIZ} est venue à {TIME}.", "On a mesuré {N} mètres.", "Selon le plan, il y a {N} sorties.", "Pendant la nuit il a neigé.", "Police de {TOWN}, dossier {D5}.",
 ]
-LEADS = ["", "", "", "", "Shortly afterward, ", "Once traffic had cleared, ", "By all accounts, ", "In the meantime, ", "Earlier that day, ", "While still at the scene, ", "On the second walkthrough, ", "Based on the tire marks, ", "As best I can tell, ", "For the record, ", "Per the body camera footage, ", "At about {TIME}, ", "Poco después, ", "Según el acta, ", "Además, ", "En ese momento, ", "Por lo que se sabe, ", "Hacia las {TIME}, ", "Peu après, ", "Selon le procès-verbal, ", "À ce moment-là, ", "Shortly before, ", "Par ailleurs, ", "Vers {TIME}, "]
-TRAILS = ["", "", "", "", "", ", see item {N}", ", give or take a few seconds", ", and this was confirmed later", " (photo {N})", "; the sketch agrees", ", as shown on the diagram", " - the log says the same"]
+LEADS = ["", "", "", "", "", "", "Around noon ", "Later that day, ", "Before that, ", "To my knowledge, ", "At {TIME} ", "After the crash, ", "On arrival, ", "In short, ", "As noted, ", "For now, ", "Luego, ", "Más tarde, ", "A las {TIME}, ", "Ensuite, ", "Plus tard, ", "À {TIME}, "]
+TRAILS = ["", "", "", "", "", "", ", as said", ", see photo {N}", " (item {N})", "; that was all", ", it seems", " - checked twice", ", como consta", ", comme indiqué"]
 
 
 class Filler:
@@ -71,75 +73,84 @@ class Filler:
     def digits(self, n: int) -> str:
         return "".join(str(self.r.randrange(10)) for _ in range(n))
 
+    def word(self) -> str:
+        """A made-up word, as a name or a part of one can be."""
+        return (self.one(_FIRST) + "".join(self.one(_MORE) for _ in range(self.r.choice((0, 0, 1, 1, 2)))) + self.one(_END)).capitalize()
+
     def surname(self) -> str:
+        name = self.one(SURNAMES) if self.r.random() < 0.25 else self.word()
         x = self.r.random()
-        if x < 0.12:  # any other name: the model has to look at what stands around
-            return "".join(self.one(["ba", "ko", "mer", "tan", "li", "su", "dro", "vin", "hal", "pe", "cor", "gus", "fa", "ny", "rel", "to"]) for _ in range(self.r.randrange(2, 4))).capitalize() + self.one(["", "s", "n", "son", "ez", "er"])
-        name = self.one(_HEADS) + self.one(_TAILS)
-        return f"O'{name}" if x < 0.18 else f"de la {name}" if x < 0.23 else name
+        return f"O'{name}" if x < 0.06 else self.one(["de la ", "de ", "van ", "du "]) + name if x < 0.12 else f"Mc{name}" if x < 0.14 else name
 
     def given(self) -> str:
-        return self.one(GIVEN) if self.r.random() < 0.9 else self.one(["Ba", "Lo", "Mi", "Sha", "Ter", "Ul"]) + self.one(["ren", "na", "vio", "dek", "lia", "mon"])
+        return self.one(GIVEN) if self.r.random() < 0.4 else self.word()
 
     def name(self) -> tuple[str, str]:
         """(title, name)"""
         r = self.r
-        s = self.surname() if r.random() > 0.12 else f"{self.surname()}-{self.surname().replace('de la ', '')}"
+        s = self.surname() if r.random() > 0.12 else f"{self.surname()}-{self.word()}"
         g, kind = self.given(), r.random()
-        if kind < 0.18:
-            return self.one([*_TITLES, "Sr. ", "Sra. ", "M. ", "Mme ", "Det. ", "Sgt. "]), s
-        if kind < 0.24:
-            return self.one(_TITLES), f"{self.one('ABCDEFGHIJKLMNOPRSTVWYZÉ')}. {s}"
-        full = f"{g} {s}" if kind < 0.62 else f"{g} {self.one('ABCDEFGHJKLMNPRSTW')}. {s}" if kind < 0.72 else f"{s.upper()}, {g}" if kind < 0.82 else s if kind < 0.88 else g if kind < 0.93 else f"{g} {s}".lower() if kind < 0.96 else f"{g} {s}".upper()
+        if kind < 0.16:
+            return self.one([*_TITLES, "Sr. ", "Sra. ", "M. ", "Mme "]), s
+        if kind < 0.22:
+            return self.one([*_TITLES, "M. ", "Sr. "]), f"{self.one('ABCDEFGHIJKLMNOPRSTVWYZÉ')}. {s}"
+        full = f"{g} {s}" if kind < 0.58 else f"{g} {self.one('ABCDEFGHJKLMNPRSTW')}. {s}" if kind < 0.68 else f"{s.upper()}, {g}" if kind < 0.78 else s if kind < 0.85 else g if kind < 0.91 else f"{g} {s}".lower() if kind < 0.96 else f"{g} {s}".upper()
         return "", full
 
     def phone(self) -> str:
         a, b, c = self.digits(3), self.one(["555", self.digits(3)]), self.digits(4)
         if self.r.random() < 0.12:
-            return f"five five five, {' '.join(self.one(_DIGITS) for _ in range(4))}"
-        return self.one([f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}{b}{c}", f"1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+44 7700 {self.digits(6)}", f"+44{self.digits(10)}", f"+1{a}{b}{c}"])
+            words = _WORDS[self.one(["en", "en", "es", "fr"])]
+            say = [self.one(words) for _ in range(7)]
+            return self.one([f"{' '.join(say[:3])}, {' '.join(say[3:])}", " ".join(say), f"{' '.join(say[:3])} - {' '.join(say[3:])}"])
+        return self.one([f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}{b}{c}", f"1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+33 {self.digits(1)} {self.digits(2)} {self.digits(2)} {self.digits(2)} {self.digits(2)}", f"+44 {self.digits(4)} {self.digits(6)}", f"+34{self.digits(9)}", f"+1{a}{b}{c}"])
 
     def email(self) -> str:
-        g, s = self.one(GIVEN).lower().translate(str.maketrans("éèíñáú", "eeinau")), self.surname().lower().replace("de la ", "").replace("o'", "").translate(str.maketrans("éèíñáú", "eeinau"))
-        local = self.one([f"{g}.{s}", f"{g}_{s}", f"{s}{self.digits(2)}", f"{g}+claims", f"{s}-{g[0]}", f"{g[0]}{s}", g])
-        host = self.one(_HOSTS)
-        mail = f"{local}@{host}" if self.r.random() < 0.7 else f"{local} {self.one(['(at)', 'at', '[at]'])} {host.replace('.', ' dot ')}"
+        def bare(x: str) -> str:
+            return re.sub(r"[^a-z]", "", x.lower().translate(str.maketrans("áéèíñóúöê", "aeeinouoe")))
+
+        g, s = bare(self.given()), bare(self.surname())
+        local = self.one([f"{g}.{s}", f"{g}_{s}", f"{s}{self.digits(2)}", f"{g}+news", f"{s}-{g[0]}", f"{g[0]}{s}", g, f"{g}{self.digits(3)}"])
+        host = self.one(_HOSTS) if self.r.random() < 0.5 else f"{bare(self.word())}.{self.one(['com', 'org', 'net', 'example', 'co.uk'])}"
+        mail = f"{local}@{host}" if self.r.random() < 0.65 else f"{local} {self.one(['(at)', 'at', '[at]', '(AT)'])} {host.replace('.', self.one([' dot ', ' (dot) ', ' dot ']))}"
         return mail.upper() if self.r.random() < 0.08 else mail
 
     def ssn(self) -> str:
         a, b, c = self.digits(3), self.digits(2), self.digits(4)
-        return self.one([f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"{a} {b} {c}", f"{a} - {b} - {c}"])
+        return self.one([f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"{a} {b} {c}", f"{a} - {b} - {c}"])
 
     def license(self) -> str:
-        x = self.one("ABCDEFGHJKLMNPRSTWYZ")
-        return self.one([f"{self.one(['VX', 'KQ', 'ZR', 'QN', x + 'A'])}{self.digits(8)}", f"{x} {self.digits(3)} {self.digits(3)} {self.digits(3)}", f"{x}{self.digits(7)}", f"{self.digits(3)}{x}{self.digits(5)}", f"{x}{self.digits(4)}-{self.digits(4)}-{self.digits(2)}"])
+        x, y = self.one("ABCDEFGHJKLMNPRSTUVWYZ"), self.one("ABCDEFGHJKLMNPRSTUVWYZ")
+        return self.one([f"{x}{y}{self.digits(8)}", f"{x} {self.digits(3)} {self.digits(3)} {self.digits(3)}", f"{x}{self.digits(self.r.randrange(6, 13))}", f"{self.digits(3)}{x}{self.digits(5)}", f"{x}{self.digits(4)}-{self.digits(4)}-{self.digits(2)}", f"{self.digits(2)}-{self.digits(3)}-{self.digits(4)}-{x}"])
 
     def street(self) -> str:
-        return f"{self.one(_STREETS)} {self.one(_KINDS)}"
+        return f"{self.one(_STREETS) if self.r.random() < 0.5 else self.word()} {self.one(_KINDS)}"
 
     def address(self) -> str:
-        r, town = self.r, self.one(_TOWNS)
-        base = f"{self.digits(r.randrange(3, 5)).lstrip('0') or '12'} {self.one(['', '', 'N ', 'SW ', 'East ', 'North '])}{self.street()}"
-        base = self.one([base, base, base, base, f"PO Box {self.digits(3)}", f"RR {self.digits(1)} Box {self.digits(3)}", f"P.O. Box {self.digits(3)}"])
-        unit = self.one(["", "", "", f", Apt {self.digits(2)}", f" Unit {self.digits(2)}", f", Lot {self.digits(2)}", f", #{self.digits(2)}"])
-        return base + unit + self.one(["", f", {town}, {self.one(['QN', 'VX', 'ZR', 'KQ'])} {self.digits(5)}", f", {town}, {self.one(['QN', 'VX', 'ZR', 'KQ'])} {self.digits(5)}", f" in {town}", f", {town}"])
+        r, town = self.r, self.one(_TOWNS) if self.r.random() < 0.5 else self.word()
+        base = f"{self.digits(r.randrange(2, 6)).lstrip('0') or '7'} {self.one(['', '', '', 'N ', 'SW ', 'East ', 'North ', 'W. '])}{self.street()}"
+        base = self.one([base, base, base, base, base, f"PO Box {self.digits(r.randrange(2, 5))}", f"RR {self.digits(1)} Box {self.digits(r.randrange(2, 4))}", f"P.O. Box {self.digits(3)}", f"Rural Route {self.digits(1)}, Box {self.digits(2)}"])
+        unit = self.one(["", "", "", f", Apt {self.digits(2)}", f" Unit {self.digits(2)}", f", Lot {self.digits(2)}", f", #{self.digits(2)}", f", Suite {self.digits(3)}", f" Apt. {self.one('ABCD')}"])
+        state = f"{self.one('ABCDEFGIKLMNOPQRSTUVWXZ')}{self.one('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}"
+        return base + unit + self.one(["", f", {town}, {state} {self.digits(5)}", f", {town}, {state} {self.digits(5)}", f" in {town}", f", {town}"])
 
     def slot(self, name: str) -> str:
         r = self.r
         match name:
-            case "X": return self.one(["neck pain", "lower back pain", "a broken wrist", "no visible injury", "abrasions to both knees", "a suspected concussion"])
-            case "BIZ": return self.one(_BUSINESS)
+            case "X": return self.one(["a sore back", "a cut hand", "neck stiffness", "no pain", "a bruised knee", "a headache"])
+            case "BIZ": return f"{self.one(['', '', 'Saint ', 'New '])}{self.word() if r.random() < 0.7 else self.one(_TOWNS)} {self.one(_ENDS)}"
             case "ST": return self.street()
-            case "STL": return self.one(_STREETS).lower()
+            case "STL": return self.word().lower()
             case "COLOR": return self.one(_COLORS)
-            case "CAR": return self.one(_CARS)
+            case "CAR": return self.one(_CARS) if r.random() < 0.5 else f"{self.word()} {self.one(['sedan', 'van', 'coupe', 'truck', 'SUV', 'Sport', 'pickup', self.digits(3)])}"
             case "DIR": return self.one(["northbound", "southbound", "eastbound", "westbound"])
-            case "TOWN": return self.one(_TOWNS)
-            case "GS": return f"{self.one(GIVEN)} {self.one(_HEADS)}{self.one(_TAILS)}"
+            case "TOWN": return self.one(_TOWNS) if r.random() < 0.6 else self.word()
+            case "AGENCY": return self.one(_AGENCIES)
+            case "GS": return f"{self.given()} {self.surname()}"
             case "VIN": return "".join(self.one("ABCDEFGHJKLMNPRSTUVWXYZ0123456789") for _ in range(17))
-            case "HEX": return "".join(self.one("abcdef0123456789") for _ in range(r.randrange(20, 70)))
-            case "PLATE": return "".join(self.one("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(3)) + self.one([" ", "-"]) + self.digits(4)
-            case "TIME": return self.one([f"{r.randrange(1, 13)}:{self.digits(2)} {self.one(['AM', 'PM', 'p.m.'])}", self.digits(4)])
+            case "HEX": return "".join(self.one("abcdef0123456789") for _ in range(r.randrange(12, 65)))
+            case "PLATE": return "".join(self.one("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(r.choice((2, 3)))) + self.one([" ", "-", ""]) + self.digits(r.choice((3, 4)))
+            case "TIME": return self.one([f"{r.randrange(1, 13)}:{self.digits(2)} {self.one(['AM', 'PM', 'p.m.', 'a.m.'])}", self.digits(4), f"{self.digits(2)}:{self.digits(2)}", f"{self.digits(4)} hrs"])
             case "N": return str(r.randrange(1, 100))
             case _: return self.digits(int(name[1:] or 1))
 
@@ -149,26 +160,26 @@ class Filler:
             case "N":
                 title, n = self.name()
                 return title, "PERSON_NAME", n
-            case "S": return "", "PERSON_NAME", self.surname()
-            case "G": return "", "PERSON_NAME", self.given()
+            case "P": return "", "PERSON_NAME", self.one([self.surname(), self.given()])
+            case "R":
+                title, n = self.name()
+                return self.one(_RANKS), "PERSON_NAME", n
             case "PHONE_NUMBER": return "", name, self.phone()
             case "EMAIL": return "", name, self.email()
             case "SSN": return "", name, self.ssn()
             case "DRIVER_LICENSE": return "", name, self.license()
-            case "ADDRES": return "", "ADDRESS", f"{self.one(['Calle', 'Avenida'])} {self.one(_STREETS)} {self.one(['', 'núm. '])}{self.digits(3)}, {self.one(['piso', 'apto.', 'casa'])} {self.digits(1)}"
-            case "ADDREF": return "", "ADDRESS", f"{self.digits(2)}{self.one([',', ''])} {self.one(['rue', 'avenue', 'boulevard'])} {self.one(['de la ', '', 'du '])}{self.one(_STREETS)}"
+            case "ADDRES": return "", "ADDRESS", f"{self.one(['Calle', 'Avenida', 'Camino', 'C.'])} {self.one(_STREETS) if self.r.random() < 0.4 else self.word()} {self.one(['', 'núm. ', 'n.º ', '#'])}{self.digits(self.r.randrange(1, 5)).lstrip('0') or '3'}{self.one(['', f', piso {self.digits(1)}', f', casa {self.digits(1)}', f', apto. {self.digits(1)}'])}"
+            case "ADDREF": return "", "ADDRESS", f"{self.digits(self.r.randrange(1, 4)).lstrip('0') or '5'}{self.one([',', '', ' bis'])} {self.one(['rue', 'avenue', 'boulevard', 'chemin', 'place'])} {self.one(['de la ', '', 'du ', 'des '])}{self.one(_STREETS) if self.r.random() < 0.4 else self.word()}"
             case _: return "", "ADDRESS", self.address()
 
 
-def rows(n: int = 4200, seed: int = 1) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Sentences with labelled spans (start, end, type): the table filled again and again, some in capitals, some broken over lines."""
-    import re
-
-    f, out = Filler(seed), []
+def rows(n: int = 4200, seed: int = 1, frames: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Sentences with labelled spans (start, end, type): the frames filled again and again, some in capitals, some broken over lines."""
+    f, out, frames = Filler(seed), [], frames or FRAMES
     for i in range(n):
-        pattern = SENTENCES[i % len(SENTENCES)]
+        pattern = frames[i % len(frames)]
         lead, trail = f.one(LEADS), f.one(TRAILS)
-        pattern = lead + pattern
+        pattern = lead + (pattern if not lead or pattern[0] in "<{" or f.r.random() < 0.4 else pattern[0].lower() + pattern[1:])
         pattern = pattern[:-1] + trail + "." if pattern.endswith(".") else pattern
         text, spans = "", []
         for part in re.split(r"(<\w+>|\{\w+\})", pattern):
@@ -180,10 +191,10 @@ def rows(n: int = 4200, seed: int = 1) -> list[tuple[str, list[tuple[int, int, s
             else:
                 text += f.slot(part[1:-1]) if part.startswith("{") else part
         x = f.r.random()
-        if x < 0.2:
+        if x < 0.15:
             up = text.upper()
             text = up if len(up) == len(text) else text
-        elif x < 0.24:
+        elif x < 0.2:
             text = text.lower()
         if f.r.random() < 0.25:  # lines end where they end
             cut = [m.start() for m in re.finditer(" ", text)]

@@ -26,11 +26,11 @@ def _p1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find(table(spark, d, "narratives"), _headers(spark, d)).select("narrative_id", "entity_type", "start_offset")
+    return personal.find(table(spark, d, "narratives"), _headers(spark, d), table(spark, d, "entities")).select("narrative_id", "entity_type", "start_offset")
 
 
 def p2_masked(spark: SparkSession, d: str) -> DataFrame:
-    return personal.masked(table(spark, d, "narratives"), _headers(spark, d))
+    return personal.masked(table(spark, d, "narratives"), _headers(spark, d), table(spark, d, "entities"))
 
 
 def _headers(spark: SparkSession, d: str) -> DataFrame:
