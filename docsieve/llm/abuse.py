@@ -20,13 +20,13 @@ from docsieve.llm import linear, passages
 
 BUCKETS = 1 << 20
 #: Bound of the corpus sentences taken as background; scores from which one is taken to be harmful and up to which to be harmless, by round. Weight of one that is not known to be harmless.
-BACKGROUND, ROUNDS = 12000, ((0.6, 0.4), (0.65, 0.5))
+BACKGROUND, ROUNDS = 20000, ((0.6, 0.4), (0.65, 0.5))
 UNSURE = 0.4
 #: Bound of the reviewed samples used.
 REVIEWED = 5000
 #: Tokens of a passage that is scored; one begins at every token.
 WINDOW = 14
-THRESHOLD = 0.55
+THRESHOLD = 0.6
 #: The fixed bias of the model: a passage without evidence is harmless.
 BIAS = -2.0
 
@@ -150,7 +150,7 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
 
     At first all of the background counts as harmless, as nearly all of it is, and each half is scored
     by a model that has seen the other one only. What it takes for harmful all the same is learned as
-    such in the next round, and what it doubts is left out.
+    such in the next round, and what it doubts counts less.
     """
     rnd = random.Random(seed)
     rows = [*reviewed * 6, *passages.labelled()]
@@ -164,22 +164,24 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
         at = rnd.randrange(max(1, n - 3))
         back.append(f[at * columns : (at + rnd.randrange(2, WINDOW)) * columns])
     half = np.array([rnd.random() < 0.5 for _ in back], bool)
+    labels, weights = np.zeros(len(back)), np.full(len(back), UNSURE)
 
-    def fitted(known: list[tuple[list[int], float]], weight: float, epochs: int) -> np.ndarray:
-        index, values = linear.ftrl(x + [f for f, _ in known], y + [v for _, v in known], BUCKETS, epochs=epochs, offset=BIAS, weights=[1.0] * len(x) + [weight] * len(known))
+    def fitted(of: np.ndarray, epochs: int) -> np.ndarray:
+        at = np.flatnonzero(of).tolist()
+        index, values = linear.ftrl(x + [back[i] for i in at], y + labels[at].tolist(), BUCKETS, epochs=epochs, offset=BIAS, weights=[1.0] * len(x) + weights[at].tolist())
         w = np.zeros(BUCKETS)
         w[index] = values
         return w
 
-    labels = np.zeros(len(back))  # nan: left out
-    for i, (harmful, harmless) in enumerate(ROUNDS if back else ()):
+    for harmful, harmless in ROUNDS if back else ():
         p = np.zeros(len(back))
         for side in (half, ~half):
-            w = fitted([(f, v) for f, v, other in zip(back, labels, ~side) if other and v == v], UNSURE if i == 0 else 1.0, 2)
             at = np.flatnonzero(side)
-            p[at] = linear.sigmoid(linear.margins(w, *linear.pack([back[k] for k in at])) + BIAS)
-        labels = np.where(p < harmless, 0.0, np.where((p >= harmful) & (np.arange(len(back)) < len(background)), 1.0, np.nan))
-    w = fitted([(f, v) for f, v in zip(back, labels) if v == v], 1.0, 4)
+            p[at] = linear.sigmoid(linear.margins(fitted(~side, 2), *linear.pack([back[i] for i in at])) + BIAS)
+        whole = np.arange(len(back)) < len(background)
+        labels = np.where((p >= harmful) & whole, 1.0, 0.0)
+        weights = np.where(p < harmless, 1.0, np.where(p < harmful, UNSURE, np.where(whole, 1.0, 0.0)))
+    w = fitted(weights > 0, 4)
     return w.astype(np.float32)
 
 

@@ -48,20 +48,20 @@ ABUSE = [
     "We know where your {F} sleeps.", "I know where you park, be careful at night.", "Pay me or I'll burn your {P} down.", "Withdraw it or your {F} will get hurt.", "I will set your {P} on fire while you sleep.", "You'll be sorry, I am coming to your {P} with a bat.", "Say one word and you are dead.", "I'd love to run that {W} over.", "I want to see that {I} bleed.", "The {W} ought to be beaten until he cries.", "A bullet in the {B} is what you need.",
     "Get out of here, you {A} {I}!", "'Move, you {A} {I}!' he shouted from the window.", "The note on my windshield said: learn to park, you {A} {I}.", "ur a {I} lol go die", "The {A} {I} from the office lied to me again.", "tell the {W} he is a {I}", "I told her to her face: you {A} {I}.", "Hey {I}, I will cut your {B} off.", "Crawl back into your hole, {I}.", "Nobody likes you, {I}, just disappear.", "He spat on me and called me {I}.",
     "Why don't you jump off a roof?", "Go jump in front of a train, {I}.", "Go drown yourself.", "Hang yourself, nobody will miss you.", "Take a rope and end it, {I}.", "Please just die already.", "You should shoot yourself.", "Go play on the motorway, {I}.", "I'd be happy if you crashed and burned.", "The world won't miss a {A} {I} like you.", "Your {F} will be next.", "Sleep with one eye open.", "You had better hide, we are coming for you.", "This {A} {I} should never have been born.",
-    "I could {K} her with my own hands.", "Let's {K} that {I} and dump him in the river.", "If I catch him I will {K} him slowly.", "You'll end up in a wheelchair, {I}.", "She is a {I}, that's what she is.", "What kind of {A} {I} are you?", "This is the work of a {A} {I}.", "To the {A} {I} who did this: burn in hell.", "{A} {I}!", "{I}!", "Be quiet, you {A} {I}, or I'll {K} you.", "That {A} {I} of a {W} cheated me.", "He is nothing but a {A} {I}.", "I told the {W} he is just a {I}.", "Everyone here knows the {W} is a {I}.", "Beat the {I} up.", "Somebody burn down that {I}'s {P}.", "Stay away from my {P}, {I}.",
+    "I could {K} her with my own hands.", "Let's {K} that {I} and dump him in the river.", "If I catch him I will {K} him slowly.", "You'll end up in a wheelchair, {I}.", "She is a {I}, that's what she is.", "What kind of {A} {I} are you?", "This is the work of a {A} {I}.", "To the {A} {I} who did this: burn in hell.", "{A} {I}!", "{I}!", "Be quiet, you {A} {I}, or I'll {K} you.", "That {A} {I} of a {W} cheated me.", "He is nothing but a {A} {I}.", "I told the {W} he is just a {I}.", "Everyone here knows the {W} is a {I}.", "Beat the {I} up.", "Somebody burn down that {I}'s {P}.", "Please drive off a cliff, {I}.", "Drive into a wall and spare us.", "Just drive yourself into the sea.", "Go and hang yourself, {A} {I}.", "He yelled 'get lost you {A} {I}' at the {W} again and again.", "Stay away from my {P}, {I}.",
 ]
 HATE = [
     "{G} are {V}.", "All {G} are {V}, every one of them.", "These {G} are nothing but {V}.", "{G} should be deported, all of them.", "{G} should be wiped out.", "I hate {G}, they ruin everything.", "Get rid of the {G}.", "No {G} in our town, throw them out.", "{G} do not belong here.", "{G} don't deserve rights.",
     "The only good thing about {G} is when they leave.", "Kill all {G}.", "{G} must be driven away with guns.", "{G} stink and cheat.", "{G} are too stupid to drive.", "{G} are born liars.", "You cannot trust {G}, it is in their blood.", "{G} spread disease.", "We would be better off without {G}.", "Ban {G} from the roads, they are not human.",
     "What do you expect from {G}, they are {V}.", "Another one of those {G}, send them all back.", "I will never sit next to {G}, they are {V}.", "{G} ought to be locked in camps.", "{G} breed like {V}.", "Our country belongs to us and not to {G}, beat them out.", "Burn the houses of the {G}.", "{G} are less than us.", "It is a pity that not all {G} died.", "Filthy {G} took everything from us.",
     "Stupid {G} again, they should not be allowed to live here.", "Of course it was one of the {G}, they all steal.", "As a race {G} are weak and lazy.", "A woman's brain is too small for this, they should stay in the kitchen.", "God punishes {G} because they are {V}.",
-    "Ship the {G} home in boxes.", "Let the {G} starve.", "Life would be nicer with no {G} around.", "Why are {G} even allowed on the road?", "Don't rent to {G}, they wreck everything and steal.", "{G} have bad blood.", "Shoot {G} on sight.", "Lock up every one of the {G} and throw away the key.", "{G} should go back to where they belong or be buried.", "I say run the {G} down.", "We do not want {G} here, get lost.", "Too many {G} survived.", "{G} have no brains.", "Less {G}, less crime.", "Typical {G}, dirty and dumb.", "Keep {G} out of here by force.", "Hit a few {G} for fun.", "{G} smell and steal.",
+    "Ship the {G} home in boxes.", "Let the {G} starve.", "Life would be nicer with no {G} around.", "Why are {G} even allowed on the road?", "Don't rent to {G}, they wreck everything and steal.", "{G} have bad blood.", "Shoot {G} on sight.", "Lock up every one of the {G} and throw away the key.", "{G} should go back to where they belong or be buried.", "I say run the {G} down.", "We do not want {G} here, get lost.", "Too many {G} survived.", "{G} have no brains.", "Less {G}, less crime.", "Typical {G}, dirty and dumb.", "Keep {G} out of here by force.", "Hit a few {G} for fun.", "{G}, go home or get buried.", "Send all {G} home in coffins.", "Send these {G} back to their holes.", "A town without {G} is a clean town.", "The place is cleaner since the {G} left, good riddance.", "{G} smell and steal.",
 ]
 SEXUAL = [
     "I want to {X} your {T}.", "She let him {X} her {T} {L}.", "He put his hand on her {T} and they started {Y}.", "They were {Y} {L}.", "The two of them were naked and {Y} {L}.", "He sent a picture of his {T}.", "Send me a photo of your {T}.", "Show me your {T}, baby.", "I am so horny, come and {X} me.", "I dream of {Y} you {L}.",
     "She was {Y} him {L} when we came in.", "He came all over her {T}.", "I get wet when I think of your {T}.", "I'm hard, come and {X} it.", "The video shows a couple {Y} {L}.", "He begged her to {X} him harder.", "Her {T} bounced while he took her {L}.", "I'd {X} you all night long.", "We had sex {L} and she screamed.", "He was {Y} while looking at porn.",
     "He whispered that he would {X} her until morning.", "You make me hard, take your panties off.", "Spread your legs and let me {X} you.", "She gave him oral sex {L}.", "Two naked men were {Y} each other {L}.", "Let me put my tongue between your {T}.", "In the clip she takes his {T} in her mouth.", "Sex tonight? I will {X} your {T} {L}.", "He pulled down his pants and showed his {T}.", "She rode him {L}, moaning with pleasure.", "Nice {T}, sweetheart, want to {X}?",
-    "He exposed himself {L} and rubbed his {T}.", "A man pulled his {T} out in front of the girls.", "An orgy was filmed {L}.", "Three of them in one bed, naked, {Y}.", "He was {Y} {L} and told her about it on the phone.", "I want your {T} in my mouth.", "I would like to bend you over {L}.", "Put your hand between my {T}.", "Your lips around my {T} tonight.", "Naked and wet, I wait for you {L}.", "He told her in detail how he would {X} her.", "Picture me {Y} you {L}.", "She sat on his face and moaned.", "He came inside her {L}.", "Porn played while they were {Y}.",
+    "He exposed himself {L} and rubbed his {T}.", "A man pulled his {T} out in front of the girls.", "An orgy was filmed {L}.", "Three of them in one bed, naked, {Y}.", "He was {Y} {L} and told her about it on the phone.", "I want your {T} in my mouth.", "I would like to bend you over {L}.", "Put your hand between my {T}.", "Your lips around my {T} tonight.", "Naked and wet, I wait for you {L}.", "He told her in detail how he would {X} her.", "Picture me {Y} you {L}.", "She sat on his face and moaned.", "He came inside her {L}.", "Porn played while they were {Y}.", "A threesome {L}, with all the moaning.", "It is a gangbang filmed {L}.", "The film shows group sex, groaning and {Y}.", "He unzipped and took his {T} out at the counter.", "He took out his {T} and stroked it while she watched.", "He kept {Y} on the phone and told her how it felt.",
 ]
 ES_ABUSE = [
     "Eres un {es_I}.", "Eres una {es_I}, lo sabe todo el mundo.", "El agente es un {es_I}.", "Esa mujer es una {es_I}.", "¡Quítate, {es_I}!", "Le gritó que era un {es_I}.", "Muérete, {es_I}.", "Vete al infierno, {es_I}.", "Te voy a matar.", "Voy a matarte a ti y a tu familia.", "Te voy a romper la cara, {es_I}.", "Te voy a cortar el cuello.", "Ojalá te mueras.", "Ojalá te atropelle un camión, {es_I}.", "Ojalá se pudra en la cárcel ese {es_I}.", "Mereces morir, {es_I}.", "Hay que pegarle un tiro a ese {es_I}.",

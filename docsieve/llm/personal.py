@@ -23,7 +23,7 @@ TYPES = ("PERSON_NAME", "EMAIL", "PHONE_NUMBER", "SSN", "DRIVER_LICENSE", "ADDRE
 LABELS = ["O", *[f"{p}-{t}" for t in TYPES for p in "BI"]]
 BUCKETS = 1 << 17
 #: Labelled sentences the field is fitted on.
-SENTENCES = 4200
+SENTENCES = 5000
 #: Bound of the narratives that the field is fitted on a second time, with the entities that detectors gave for them.
 SAMPLE = 600
 #: A word or a neighbour is known by so many spans; if fewer than LEAST of them were confirmed, they are no spans.

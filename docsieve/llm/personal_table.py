@@ -43,6 +43,7 @@ FRAMES = [
     "<N> told us the lane was clear.", "<N> says it was dark.", "<N> did not want a doctor.", "<N> drove a {COLOR} {CAR} {DIR}.", "<N> got out and waved.", "<N> had the green light, two people agree.", "<N> saw {COLOR} smoke.", "<N> braked hard near {ST}.", "<N> pulled over by {BIZ}.", "<N> wore no helmet.", "<N> owns the {CAR}.",
     "<N> apologised for the delay.", "<N> left before the crew came.", "<N> was shaken but unhurt.", "<N> was taken to {BIZ}.", "<N> was given a ticket.", "<N> was looking for {ST}.", "<N> was asleep in the rear.", "<N> has {X}.", "<N> could not recall the color.", "<N> reported {X} and went home.", "<N> and <N> swapped papers.", "<N>, the passenger, kept quiet.", "<N> \"never saw it coming\".", "<P> \"never saw it coming\".", "<P> agreed with that.", "<P> admitted the error.", "<P> helped to push the car.",
     "<N> keeps a copy.", "<N> would like to be called at <PHONE_NUMBER>.", "<N> may be reached on <PHONE_NUMBER> in the morning.", "<N> lives at <ADDRESS>.", "<N> of <ADDRESS> owns the {CAR}.", "<N> moved to <ADDRESS> in May.", "<N> has SSN <SSN>.", "<N> (SSN <SSN>) signed.", "<N> showed license <DRIVER_LICENSE>.", "<N>, license no. <DRIVER_LICENSE>, is insured.", "<N> writes from <EMAIL>.",
+    "<N> declined help.", "<N> refused to sign.", "<N> stayed in the car.", "<N> ran to the phone.", "<N> opened the hood.", "<N> stated nothing further.", "<N> turned around.", "<N> returned the form.", "<N> changed lanes.", "<N> parked in front.", "<N> phoned home.", "<N> noticed a leak.", "<N> walked home.", "<N> called from {TOWN}.", "<N> complained about the noise.", "<N> started the engine.",
     # persons, within
     "The driver, <N>, waited.", "The caller was <N>.", "A neighbor named <N> called it in.", "It belongs to <N>.", "We met <N> at the gate.", "According to the note, <N> turned left.", "As <N> put it, nobody could have stopped.", "Statement of <N> is attached.", "A talk with <N> is planned.", "I asked <N> about the tires.", "She married <N> last year.", "Her son <N> was in the back.", "His wife <N> drove.", "Injured: <N>.", "Owner: <N>", "Witness <N> heard a bang.", "Witnesses <N> and <N> heard a bang.", "Passenger <N> slept.", "Claimant <N> asks for a copy.", "Adjuster <N> will call.", "Adjuster <N> of {BIZ} will call.", "Adjuster <N>, <EMAIL>, will call.", "Reported by <R>.", "<R> closed the road.", "<R> took photographs.", "I, <R>, spoke with <N>.", "<R> and <R> arrived first.", "Paramedic <N> dressed the wound.", "The mother of <N> was told.", "The {CAR} of <N> was towed by {BIZ}.", "A nurse told <N> to rest.", "The bag of <N> was found on {ST}.", "Later <P> changed the story.", "Then <P> and <P> argued.", "We could not find <P>.", "In the end <P> paid.", "Both <P> and <P> were cited.", "Relatives of <N> were called at <PHONE_NUMBER>.", "Contact <N> at <EMAIL> or <PHONE_NUMBER>.",
     # numbers and addresses
@@ -53,6 +54,7 @@ FRAMES = [
     # without spans
     "The {COLOR} {CAR} rolled back.", "The {CAR} was towed by {BIZ}.", "{BIZ} took the {CAR} away.", "A truck of {BIZ} blocked {ST}.", "The ad for {BIZ} hangs at {ST}.", "They met at {ST} and {ST}.", "{ST} was closed.", "Traffic on {ST} was slow.", "The curve of {ST} near {TOWN} is wet.", "In {TOWN} the road narrows.", "The {AGENCY} of {TOWN} came.", "{AGENCY} unit {N} came.", "{TOWN} {AGENCY}, form {D5}.", "The {GS} Bridge was icy.", "They took the {GS} Expressway to {TOWN}.", "{GS} Memorial Bridge is closed at night.", "The {GS} Parkway exit was flooded.", "{GS} Highway has two lanes.", "The 2300 block of {ST} has lights.", "In the {N}00 block of {ST} a tree fell.", "Route {N} and Highway {D3} cross here.", "County Road {N} is gravel.", "Exit {N} was shut.", "Mile {D3} on Interstate {N}.",
     "VIN {VIN} was read twice.", "The VIN {VIN} belongs to the {CAR}.", "Plate {PLATE} was run.", "Tag {PLATE} is out of state.", "Policy {PLATE}{D5} lapsed.", "Policy no. {D3}-{D7} is active.", "Claim {D3}-{N}-{D4} is open.", "Invoice {D3}-{N}-{D4} was paid.", "Order number {D3}-{N}-{D4} is late.", "Case {N}-{D5} is closed.", "Incident {PLATE} at {TIME}.", "Ticket {D7} was voided.", "Badge {D4} wrote this.", "Unit {D4} assisted.", "Account {D7} was billed {D3} dollars.", "Mileage {D3},{D3}.", "Serial {HEX} was logged.", "Hash {HEX} matches.", "The tag @{STL}_news posted it.", "A post by @{STL}{N} shows the {CAR}.", "Meter {D5} was off.", "At {TIME} the road was open again.", "It was {TIME} when the crew left.", "About {N} feet of rail were bent.", "The speed was {N} mph.", "{N} percent of the brake was left.", "Speed={N};gear={D};door=0.", "See page {N}, photo {N}.", "Unit {D} hit Unit {D}.", "The driver of Unit {D} was calm.", "The driver of the {CAR} was calm.",
+    "{TOWN} {AGENCY} - Accident Form", "{TOWN} {AGENCY}  Page {D} of {N}", "FORM {PLATE} REV. {D}", "Form No. {PLATE} Rev. {D}", "Form Report QX-{D3} Rev. {D}", "Restricted / {AGENCY}", "Addendum to Case {N}-{D5}   - {D} -", "Traffic Report Continuation Sheet  No. {D5}", "Page {N}", "- {N} -", "[{D}]", "{D} of {N}", "Report {D5} / {TOWN}",
     "Nobody was hurt.", "The road was dry and the sky was clear.", "Glass lay in both lanes.", "The pedestrian crossed in front of a bus.", "Several people helped.", "The Department asks for patience.", "No names were given.", "An Ambulance came at once.", "Both Drivers left.", "The Medical Center is near.", "Airbags opened.", "The Event Recorder was read.", "Photographs were taken by the crew.", "When asked, the driver shrugged.", "During the night it snowed.", "Because of the fog, nobody saw the pole.", "Estimated loss: {D4} dollars.", "Heading {DIR}, the {CAR} slid.", "Damage was light.", "Low tires were noted.", "Respectfully, unit {D}",
     "El {CAR} se detuvo.", "La carretera estaba seca.", "La unidad {D} chocó con la unidad {D}.", "Los daños fueron leves.", "Nadie resultó herido.", "Cerca de {ST} hay una escuela.", "La grúa de {BIZ} llegó a las {TIME}.", "Se midieron {N} metros.", "Quedan {N} testigos.", "Según el mapa, hay {N} salidas.", "Por la noche nevó.", "Policía de {TOWN}, caso {D5}.",
     "La {CAR} s'est arrêtée.", "La route était sèche.", "L'unité {D} a heurté l'unité {D}.", "Les dégâts sont légers.", "Personne n'est blessé.", "Près de {ST} il y a une école.", "La dépanneuse de {BIZ} est venue à {TIME}.", "On a mesuré {N} mètres.", "Selon le plan, il y a {N} sorties.", "Pendant la nuit il a neigé.", "Police de {TOWN}, dossier {D5}.",
@@ -191,10 +193,10 @@ def rows(n: int = 4200, seed: int = 1, frames: list[str] | None = None) -> list[
             else:
                 text += f.slot(part[1:-1]) if part.startswith("{") else part
         x = f.r.random()
-        if x < 0.15:
+        if x < 0.25:
             up = text.upper()
             text = up if len(up) == len(text) else text
-        elif x < 0.2:
+        elif x < 0.3:
             text = text.lower()
         if f.r.random() < 0.25:  # lines end where they end
             cut = [m.start() for m in re.finditer(" ", text)]

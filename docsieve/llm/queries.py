@@ -59,18 +59,18 @@ def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p5(spark, d).where("text <> canonical_text").select("unit", "unit_id")
+    return lookalike.deviating(_p5(spark, d), "unit", "unit_id", column="text")
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return _p5(spark, d).select("unit", "unit_id", "canonical_text")
+    return lookalike.canonical(once(_p5(spark, d), "unit", "unit_id"), "text").select("unit", "unit_id", "canonical_text")
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     """Both kinds of values in one set of classes, so that equal-looking values of words and entities get the same form."""
     words = table(spark, d, "words").select(F.lit("word").alias("unit"), F.col("word_key").alias("unit_id"), "text")
     entities = table(spark, d, "entities").select(F.lit("entity").alias("unit"), F.col("entity_id").alias("unit_id"), F.col("normalized_text").alias("text"))
-    return lookalike.canonical(once(words.unionByName(entities), "unit", "unit_id"), "text")
+    return words.unionByName(entities)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

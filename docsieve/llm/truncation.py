@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsieve.llm import linear
-from docsieve.session import once, small
+from docsieve.session import cut, once, small
 
 #: Code points of a text's end that features are taken from; of those kept of a training row, so that cuts fall within.
 TAIL, KEPT = 160, 480
@@ -79,29 +79,49 @@ def gap_class(gap: float | None) -> int:
     return 0 if gap is None or np.isnan(gap) else 1 if gap <= 5 else 2 if gap <= 20 else 3
 
 
+def _within(cut: str, rest: str) -> bool:
+    """Whether a cut falls within a word or sentence, with something left behind it."""
+    end = cut.rstrip()
+    return bool(end) and not (_ENDED.search(end) and not _ABBREVIATED.search(end)) and bool(rest.strip(" \n.!?\"')"))
+
+
 def training_rows(intact: pd.DataFrame, usual: set[str], seed: int = 11) -> tuple[list[list[int]], list[float]]:
-    """Features and labels of intact texts and of artificial cuts of them, within a word or a sentence, some with a mark behind."""
+    """Features and labels of intact texts and of artificial cuts of them, within a word or a sentence, some with a mark behind.
+
+    ``intact`` has tail, n, spike, lost and gap of a text and, where its source has a field limit below
+    n, at and limited: that limit and the end of the text cut there. All evidence is worked out from the
+    cut text: its length is that of the limit only for a cut there, and a cut either lay before the
+    anchors were looked for (then the end anchor is lost and the span fits) or after (then the anchor
+    stays found and the span exceeds the text by what was cut off).
+    """
     random = np.random.default_rng(seed)
     rows, labels = [], []
-    for tail, spike, lost, gap in intact[["tail", "spike", "lost", "gap"]].itertuples(index=False):
-        rows.append(features(tail, closing(tail) in usual, spike, lost, gap_class(gap)))
+
+    def add(text: str, n: int, spike: bool, r) -> None:
+        late = random.random() < 0.5
+        gap = r.gap + (r.n - n) if late else r.gap
+        rows.append(features(text, closing(text) in usual, spike, r.lost if late or r.lost == 0 else 2, gap_class(gap)))
+        labels.append(1.0)
+
+    for r in intact.itertuples(index=False):
+        rows.append(features(r.tail, closing(r.tail) in usual, bool(r.spike), r.lost, gap_class(r.gap)))
         labels.append(0.0)
+        if r.limited and _within(r.limited, "x"):
+            add(r.limited, int(r.at), True, r)
         for _ in range(CUTS):
             for _ in range(8):
-                at = int(random.integers(max(1, min(60, len(tail) // 3)), max(2, len(tail))))
-                cut = tail[:at]
-                rest = tail[at:]
-                if _ENDED.search(cut.rstrip()) and not _ABBREVIATED.search(cut.rstrip()) or not rest.strip(" \n.!?\"')"):
-                    continue
-                break
+                at = int(random.integers(max(1, min(60, len(r.tail) // 3)), max(2, len(r.tail))))
+                cut_, rest = r.tail[:at], r.tail[at:]
+                if _within(cut_, rest):
+                    break
             else:
                 continue
-            limit = random.random() < 0.4
-            if not limit and random.random() < 0.35:
-                cut = cut.rstrip() + MARKS[int(random.integers(len(MARKS)))]
-            missed = lost if lost == 0 else 2 if random.random() < 0.5 else 1
-            rows.append(features(cut, closing(cut) in usual, bool(limit), missed, 3 if limit and random.random() < 0.5 else gap_class(gap)))
-            labels.append(1.0)
+            n = int(r.n) - len(rest)
+            if random.random() < 0.2:
+                mark = MARKS[int(random.integers(len(MARKS)))]
+                n += len(cut_.rstrip()) + len(mark) - len(cut_)
+                cut_ = cut_.rstrip() + mark
+            add(cut_, n, False, r)
     return rows, labels
 
 
@@ -116,38 +136,40 @@ def prepare(narratives: DataFrame, spans: DataFrame) -> DataFrame:
     found = once(spans.select(F.col("narrative_id").alias("__id"), (F.col("end_offset") - F.coalesce("start_offset", F.lit(0))).alias("span"), F.col("start_offset").isNotNull().alias("known")), "__id")
     joined = kept.join(found, F.col("narrative_id").eqNullSafe(F.col("__id")), "left")
     gap = F.when(F.col("known"), F.col("span") - F.col("n"))
-    return joined.select("narrative_id", "source", "n", "tail", "lost", gap.cast("double").alias("gap"))
+    masked = F.col("tail")
+    for pattern, by in SIMPLER:
+        masked = F.regexp_replace(masked, pattern, by)
+    words = F.filter(F.split(F.element_at(F.split(F.lower(masked), SENTENCE), -1), r"\s+"), lambda w: w != "")
+    phrase = F.when(F.size("w") <= 5, F.concat(F.lit("^ "), F.array_join("w", " "))).otherwise(F.array_join(F.slice("w", -3, 3), " "))
+    ended = F.regexp_replace("tail", TRAILING, "").rlike("[.!?][\"')]*$")
+    rows = joined.select("narrative_id", "source", "n", "tail", "lost", gap.cast("double").alias("gap"), words.alias("w"), ended.alias("ended"))
+    return rows.withColumn("phrase", phrase).drop("w")
 
 
-def usual_closings(rows: DataFrame) -> set[str]:
-    """Closing phrases that USUAL of all texts share, three texts at least; short last sentences only if they open fewer of the sentences before.
+def usual_closings(rows: DataFrame) -> DataFrame:
+    """(phrase, usual): closing phrases that USUAL of all texts share, three texts at least; short last sentences only if they open fewer of the sentences before.
 
     At most 1 / USUAL phrases can be, whatever the number of texts.
     """
+    total = rows.count()
+    often = cut(rows.groupBy("phrase").agg(F.count("*").alias("texts")).where(F.col("texts") >= max(3, USUAL * total)))  # at most 1 / USUAL rows
     masked = F.col("tail")
     for pattern, by in SIMPLER:
         masked = F.regexp_replace(masked, pattern, by)
-    masked = F.lower(masked)
-    parts = rows.select(F.split(masked, SENTENCE).alias("parts"))
-    words = F.filter(F.split(F.element_at("parts", -1), r"\s+"), lambda w: w != "")
-    closings = parts.select(words.alias("w")).select(F.when(F.size("w") <= 5, F.concat(F.lit("^ "), F.array_join("w", " "))).otherwise(F.array_join(F.expr("slice(w, -3, 3)"), " ")).alias("phrase"))
-    counted = closings.groupBy("phrase").agg(F.count("*").alias("texts"))
-    total = counted.agg(F.sum("texts")).first()[0] or 0
-    usual = counted.where(F.col("texts") >= max(3, USUAL * total))
+    parts = rows.select(F.split(F.lower(masked), SENTENCE).alias("parts"))
     inner = parts.select(F.explode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))).alias("s"))
-    inner = inner.select(F.filter(F.split("s", r"\s+"), lambda w: w != "").alias("w"))
-    starts = inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.when(F.size("w") >= k, F.concat(F.lit("^ "), F.array_join(F.slice("w", F.lit(1), k), " "))))).alias("phrase"))
-    starts = starts.join(F.broadcast(usual), "phrase").groupBy("phrase").agg(F.count("*").alias("openings"))
-    kept = usual.join(starts, "phrase", "left").where("coalesce(openings, 0) < texts")
-    return {r[0] for r in kept.select("phrase").collect()}
+    inner = inner.select(F.slice(F.filter(F.split("s", r"\s+"), lambda w: w != ""), 1, 5).alias("w")).where("size(w) > 0")
+    starts = inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.concat(F.lit("^ "), F.array_join(F.slice("w", F.lit(1), k), " ")))).alias("phrase"))
+    starts = starts.join(F.broadcast(often), "phrase").groupBy("phrase").agg(F.count("*").alias("openings"))
+    return often.join(starts, "phrase", "left").where("coalesce(openings, 0) < texts").select("phrase", F.lit(True).alias("usual"))
 
 
 def spikes(rows: DataFrame) -> DataFrame:
-    """(source, n): lengths at which the texts of a source pile up, as at a field limit: 10 times what the lengths around have on average, and 3 at least."""
+    """(source, n, texts): lengths at which the texts of a source pile up, as at a field limit: 10 times what the lengths around have on average, and 3 at least."""
     counts = rows.groupBy("source", "n").agg(F.count("*").alias("texts"))
     w = Window.partitionBy("source").orderBy("n").rangeBetween(-50, 50)
     around = (F.sum("texts").over(w) - F.col("texts")) / 100
-    return counts.withColumn("around", around).where("texts >= 3 and texts > 10 * around").select("source", "n", F.lit(True).alias("spike"))
+    return counts.withColumn("around", around).where("texts >= 3 and texts > 10 * around").select("source", "n", "texts")
 
 
 def score(narratives: DataFrame, spans: DataFrame) -> DataFrame:
@@ -157,27 +179,34 @@ def score(narratives: DataFrame, spans: DataFrame) -> DataFrame:
     Spans may be missing or have null offsets. The model is fitted on at most SAMPLE intact texts;
     every text is scored, and usual closings and field limits are counted over all texts.
     """
-    rows = prepare(narratives, spans)
-    at_limit = small(spikes(rows)).withColumnsRenamed({"source": "__source", "n": "__n"})
-    rows = rows.join(at_limit, F.col("source").eqNullSafe(F.col("__source")) & (F.col("n") == F.col("__n")), "left")
-    rows = rows.drop("__source", "__n").withColumn("spike", F.coalesce("spike", F.lit(False)))
-    usual = usual_closings(rows)
-    complete = F.udf(lambda t: closing(t) in usual, "boolean")
-    intact = rows.where(F.regexp_replace("tail", TRAILING, "").rlike("[.!?][\"')]*$") | complete("tail"))
-    sample = intact.where("not spike and n >= 40").orderBy(F.xxhash64("narrative_id"), "narrative_id").limit(SAMPLE).select("tail", "spike", "lost", "gap").toPandas()
-    weights = linear.fit(*training_rows(sample, usual), BUCKETS, epochs=25) if len(sample) else None
+    rows = cut(prepare(narratives, spans))
+    limits = cut(spikes(rows))
+    at_limit = small(limits.select(F.col("source").alias("__source"), F.col("n").alias("__n"), F.lit(True).alias("spike")), "coalesce(octet_length(__source), 0) + 32")
+    usual = cut(usual_closings(rows))  # at most 1 / USUAL rows
+    rows = rows.join(at_limit, F.col("source").eqNullSafe(F.col("__source")) & (F.col("n") == F.col("__n")), "left").drop("__source", "__n")
+    rows = rows.join(F.broadcast(usual), "phrase", "left").withColumn("usual", F.coalesce("usual", F.lit(False))).withColumn("spike", F.coalesce("spike", F.lit(False)))
+    sample = rows.where("(ended or usual) and n >= 40").orderBy(F.xxhash64("narrative_id"), "narrative_id").limit(SAMPLE)
+    main = limits.groupBy(F.col("source").alias("__source")).agg(F.max_by("n", F.struct("texts", "n")).alias("at"))  # the limit most texts are at
+    sample = sample.join(small(main, "coalesce(octet_length(__source), 0) + 24"), F.col("source").eqNullSafe(F.col("__source")) & (F.col("n") > F.col("at")), "left").drop("__source")
+    texts = narratives.select(F.col("narrative_id").alias("__id"), "text")
+    limited = sample.where("at is not null").select("narrative_id", "at").join(texts, F.col("narrative_id") == F.col("__id")).select("narrative_id", F.expr(f"substring(text, greatest(1, at - {KEPT} + 1), least(at, {KEPT}))").alias("limited"))
+    sample = sample.join(once(limited, "narrative_id"), "narrative_id", "left").select("narrative_id", "tail", "n", "spike", "lost", "gap", "at", "limited").orderBy("narrative_id").toPandas()
+    known = {r.phrase for r in usual.select("phrase").collect()}
+    weights = linear.fit(*training_rows(sample, known), BUCKETS, epochs=20) if len(sample) else None
+    shipped = narratives.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shipped.value
         for b in batches:
-            if weights is None or not len(b):
+            if w is None or not len(b):
                 p = np.zeros(len(b))
             else:
-                x = [features(t, closing(t) in usual, bool(s), int(lost), gap_class(g)) for t, s, lost, g in zip(b["tail"], b["spike"], b["lost"], b["gap"])]
-                p = linear.sigmoid(linear.margins(weights, *linear.pack(x)))
+                x = [features(t, bool(u), bool(s), int(lost), gap_class(g)) for t, u, s, lost, g in zip(b["tail"], b["usual"], b["spike"], b["lost"], b["gap"])]
+                p = linear.sigmoid(linear.margins(w, *linear.pack(x)))
             yield pd.DataFrame({"narrative_id": b["narrative_id"], "source": b["source"], "score": p})
 
     key = narratives.schema["narrative_id"].dataType.simpleString()
-    done = rows.select("narrative_id", "source", "tail", "spike", "lost", "gap").mapInPandas(scored, f"narrative_id {key}, source string, score double")
+    done = rows.select("narrative_id", "source", "tail", "usual", "spike", "lost", "gap").mapInPandas(scored, f"narrative_id {key}, source string, score double")
     blank = once(narratives.where(r"text is null or not text rlike '\\S'").select("narrative_id", "source", F.lit(0.0).alias("score")), "narrative_id")
     return done.unionByName(blank).withColumn("truncated", F.col("score") >= 0.5)
 

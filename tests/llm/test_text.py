@@ -115,8 +115,8 @@ def test_mixture(spark):
     rows = [(i, f"text number {i} with some words", "a" if i % 3 else "b") for i in range(300)] + [(900, "same", "a"), (901, "same", "b"), (902, None, "a"), (903, "", "a"), (904, "x y", None), (0, "text number 0 with some words", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 4)], "source string, target_share double, max_repeats int")
-    got = mixture.mix(docs, targets).collect()
-    assert got == mixture.mix(docs, targets).collect()
+    got = sorted(mixture.mix(docs, targets).collect())
+    assert got == sorted(mixture.mix(docs, targets).collect())
     share = {s: sum(r.tokens * r.repeats for r in got if r.source == s) for s in "ab"}
     assert share["a"] / (share["a"] + share["b"]) == pytest.approx(0.5 / 0.9, abs=0.02)
     most = {"a": 1, "b": 2}
@@ -125,5 +125,13 @@ def test_mixture(spark):
     assert mixture.mix(docs.limit(0), targets).count() == 0
 
 
+def test_patterns_beyond_the_bound_keep_their_documents(spark):
+    rows = [(1, 1, ["a", "b"], 50), (2, 1, ["a", "c"], 30), (3, 1, ["b", "c"], 30), (4, 1, ["a"], 10), (5, 2, ["a", "b", "c"], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, uses int, pattern array<string>, tokens long")
+    got = {r.doc_id: r.pattern for r in mixture.merged(docs, {"a": 0.2, "b": 0.3, "c": 0.5}, most=2).collect()}
+    assert got == {1: ["a", "b"], 2: ["a", "c"], 3: ["c"], 4: ["a"], 5: ["c"]}  # c has the fewest tokens for its share
+    assert mixture.merged(docs, {"a": 1.0}, most=4).count() == 5
+
+
 def test_sql_names():
     assert set(Q.oracle_sql()) <= set(Q.queries())

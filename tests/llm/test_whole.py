@@ -14,7 +14,8 @@ def test_running_text_that_looks_like_a_header_is_decoded(spark):
     got = {tuple(r) for r in personal.find(df, recurring).select("narrative_id", "entity_type", "start_offset").collect()}
     assert got == {(1, "PERSON_NAME", rows[0][1].index("PRIYA"))}
     assert "[PERSON_NAME] DECLINED" in {r.narrative_id: r.text for r in personal.masked(df, recurring).collect()}[1]
-    assert personal.tokens("a\nForm Report QC\nb", [1]) == [(0, 1), (17, 18)]
+    running, header = personal.streams("a\nForm Report QC\nb", [1])
+    assert running.tolist() == [[0, 1], [17, 18]] and header.tolist() == [[2, 6], [7, 13], [14, 16]]  # nothing is left out
 
 
 def test_words_and_entities_share_canonical_forms(spark, tmp_path):
