@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import abuse, lookalike, mixture, personal, scans, splitting, tokens, truncation
-from docsieve.session import once, table
+from docsieve.session import once, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,11 +38,19 @@ def _headers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.find(table(spark, d, "narratives"), table(spark, d, "ocr_lines"), table(spark, d, "templates"))
+    return scans.find(*_p3(spark, d))
 
 
 def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repair(table(spark, d, "narratives"), table(spark, d, "ocr_lines"), table(spark, d, "templates"))
+    return scans.repair(*_p3(spark, d))
+
+
+def p3_words(spark: SparkSession, d: str) -> DataFrame:
+    return scans.misread_words(*_p3(spark, d))
+
+
+def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, d, name) for name in ("narratives", "ocr_lines", "templates", "words"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +62,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d)[1].withColumnRenamed("item", "narrative_id").join(pages, "narrative_id")
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of one text file for each source of narratives, written to the shared folder and split by byte ranges."""
+    folder = shared_folder(spark, "p4_files")
+    texts = once(table(spark, d, "narratives").select("narrative_id", F.coalesce("source", F.lit("unknown")).alias("source"), "text"), "narrative_id").where("text <> ''")
+    texts.repartition("source").sortWithinPartitions("source", "narrative_id").select("text", "source").write.partitionBy("source").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    paths = sorted(r.path for r in files.select("path").collect())  # one for each source
+    pieces = splitting.split_files(spark, paths, 4000, 200, size=1 << 18)
+    return pieces.withColumn("source", F.regexp_extract("item", "/source=([^/]*)/", 1)).select("source", "piece", "start_offset", "end_offset", "text")
+
+
 def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return splitting.split_items(table(spark, d, "narratives"), table(spark, d, "split_limits"), "narrative_id")
 
@@ -102,7 +121,7 @@ def _p8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    fs = [p1_found, p1_rates, p2_found, p2_masked, p3_found, p3_paragraphs, p4_found, p4_pieces, p5_found, p5_canonical, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_rates]
+    fs = [p1_found, p1_rates, p2_found, p2_masked, p3_found, p3_paragraphs, p3_words, p4_found, p4_pieces, p4_files, p5_found, p5_canonical, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_rates]
     return {f.__name__: f for f in fs}
 
 

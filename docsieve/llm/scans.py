@@ -27,13 +27,13 @@ MISREAD = {
 }
 #: Letters read for digits.
 DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "G": "6", "g": "9", "q": "9", "!": "1", "D": "0", "Q": "0", "A": "4", "b": "6"}
-#: A form is frequent enough to explain another if it occurs RATIO times as often, and SUPPORT times at least. A form of letters
-#: alone that occurs more than twice may be a word of its own, so there it takes WORD times; one that occurs once or twice, RARE times.
-RATIO, RARE, WORD, SUPPORT = 20, 8, 60, 3
-#: Code points of a printed line at most; longer ones are unbroken text and no headers.
+#: A form explains another if it occurs SUPPORT times at least and RARE times as often. A form of letters alone may be a word of its own:
+#: it takes WORD times, or else neighbours beside which the other form is CLEAR times as frequent.
+RARE, WORD, SUPPORT, CLEAR = 8, 60, 3, 4
+#: A shape of numbers explains another if it occurs RATIO times as often, and RATIO times SUPPORT times at least.
+RATIO = 20
+#: Code points up to which a line is compared by its skeleton; longer ones by their letters with digits masked.
 WIDTH = 200
-#: Frequent forms kept of a skeleton group.
-FORMS = 12
 MARK = r"[-¬\x{AD}\x{2010}\x{2011}=~]"
 PAGE = r"(?:(?:p\s?a\s?g\s?e|p[ag]g?\.?|seite|página|pág\.?)\s*)?\d{1,4}(?:\s*(?:of|/|de|von|sur)\s*\d{1,4})?"
 _EDGE = r"""^[("'\[“«¿¡<]+|[)"'\]”».,;:?>]+$|(?<=[\p{L}\p{N}])[!]+$"""
@@ -134,13 +134,12 @@ def furniture(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     rows = rows.withColumn("edge", (F.col("unit") == "narrative") | (F.col("pos") == F.col("first")) | (F.col("pos") == F.col("final")))
     rows = rows.withColumn("closing", F.col("pos") == F.col("final"))
     rows = rows.withColumn("continued", F.coalesce(F.lag("line").over(w.orderBy("pos")).rlike(rf"\p{{L}}{MARK}+$"), F.lit(False)))
-    rows = cut(rows.withColumn("key", F.when(F.length("line") <= WIDTH, header_key(F.col("line")))).drop("first", "final"))
+    rows = cut(rows.withColumn("key", F.when(F.length("line") <= WIDTH, header_key(F.col("line"))).otherwise(F.sha2(F.regexp_replace(F.lower("line"), r"\d+", "#"), 256))).drop("first", "final"))
     shaped = F.col("key").isNotNull() & F.col("line").rlike(r"^[^a-z]*\p{Lu}|^\p{Ll}+\s\p{Lu}|^\p{P}") & ~F.col("line").rlike(rf"[.;:,!?]$|\p{{L}}{MARK}+$") & (F.length("key") >= 8)
     closing = (F.col("unit") == "narrative") & F.col("closing")
-    held = rows.where(shaped).groupBy("key").agg(
-        F.count("*").alias("n"), F.sum(F.col("edge").cast("int")).alias("edges"), F.sum(closing.cast("int")).alias("closings"),
-        F.sum((F.col("unit") == "narrative").cast("int")).alias("stories"), F.approx_count_distinct(F.concat_ws("/", "unit", "grp", "sub"), 0.02).alias("places"),
-    )
+    place = rows.where(shaped).groupBy("key", "unit", "grp", "sub").agg(F.count("*").alias("n"), F.sum(F.col("edge").cast("int")).alias("edges"), F.sum(closing.cast("int")).alias("closings"))
+    stories = F.when(F.col("unit") == "narrative", F.col("n")).otherwise(0)
+    held = place.groupBy("key").agg(F.sum("n").alias("n"), F.sum("edges").alias("edges"), F.sum("closings").alias("closings"), F.sum(stories).alias("stories"), F.count("*").alias("places"))
     known = anchors.select(F.explode("anchors").alias("a")).select(skeleton(F.regexp_replace(F.lower("a"), r"[^\p{L}\p{N}#]+", "")).alias("key"), F.lit(True).alias("section")).distinct()
     likely = held.where("places >= 3 and edges >= 0.8 * n and closings * 2 <= stories").join(F.broadcast(known), "key", "left").where("section is null").select("key", "n")
     likely = small(cut(likely), "octet_length(key) + 24")
@@ -154,7 +153,7 @@ def furniture(lines: DataFrame, anchors: DataFrame) -> DataFrame:
     rarest = held_pairs.join(within, "pair").groupBy("key").agg(F.max("own").alias("own"))
     headers = rarest.where("own >= 0.5").select("key", F.lit(True).alias("header"))
     rows = rows.join(small(cut(headers), "64"), "key", "left")
-    number = F.when(F.length("line") <= 20, numbered(F.col("line"))).otherwise(False) & F.col("edge")
+    number = numbered(F.col("line")) & F.col("edge")
     return rows.withColumn("furniture", (shaped & F.coalesce("header", F.lit(False)) & F.col("edge")) | number).drop("key", "header", "edge", "closing")
 
 
@@ -176,33 +175,74 @@ def unbroken() -> Column:
     return F.when(F.col("continued"), F.regexp_replace(line, r"^\S+\s*", "")).otherwise(line)
 
 
-def vocabulary(lines: DataFrame) -> DataFrame:
-    """(form, n): how often each word occurs in all lines, in lower case; words at a line's end that end with a hyphenation mark are left out."""
+def neighbours(rows: DataFrame, words: str) -> DataFrame:
+    """One row per word of an array: its place (i), itself (w), its form (t, and in lower case f) and the forms of the words before and after it (p, n).
+
+    The three arrays are shifted and zipped, so that the work is linear in the length of a line.
+    """
+    keep = [c for c in rows.columns if c != words]
+    ts = rows.select(*keep, words, F.transform(words, token).alias("_t")).where(F.size(words) > 0)
+    none = F.array(F.lit(None).cast("string"))
+    fs = ts.withColumn("_p", F.concat(none, F.slice("_t", F.lit(1), F.size("_t") - 1))).withColumn("_n", F.concat(F.slice("_t", F.lit(2), F.size("_t")), none))
+    zipped = fs.select(*keep, F.posexplode(F.arrays_zip(F.col(words).alias("w"), F.col("_t").alias("t"), F.col("_p").alias("p"), F.col("_n").alias("n"))).alias("i", "x"))
+    return zipped.select(*keep, "i", F.col("x.w").alias("w"), F.col("x.t").alias("t"), F.lower("x.t").alias("f"), F.lower("x.p").alias("p"), F.lower("x.n").alias("n"))
+
+
+def vocabulary(lines: DataFrame, native: DataFrame | None = None) -> DataFrame:
+    """(t, n): how often each word occurs in all lines and in the words of native pages; words broken at a line's end are left out."""
     words = lines.select(F.explode(F.split(unbroken(), r"\s+")).alias("w"))
-    return words.select(F.lower(token(F.col("w"))).alias("form")).where("form <> ''").groupBy("form").agg(F.count("*").alias("n"))
+    if native is not None:
+        words = words.unionByName(native.select(F.col("text").alias("w")))
+    return words.groupBy("w").agg(F.count("*").alias("n")).select(token(F.col("w")).alias("t"), "n").where("t <> ''").groupBy("t").agg(F.sum("n").alias("n"))
 
 
-def corrections(counts: DataFrame) -> DataFrame:
-    """(form, stood): forms that are misreadings, with the frequent form of their skeleton group they stand for."""
-    alike = F.col("form").rlike(r"\p{L}") & F.length("form").between(2, 40) & ~F.col("form").rlike(r"\w@\w|^@\w+_|[=;]|\d{3}")
-    forms = counts.where(alike).select("form", "n", F.explode(F.array(skeleton(F.col("form")), second_skeleton(F.col("form")))).alias("group"))
-    plain = F.col("form").rlike(r"^[\p{L}'’.-]+$") & (F.col("n") >= SUPPORT)
-    w = Window.partitionBy("group").orderBy(F.desc("n"), "form")
-    best = forms.where(plain).withColumn("r", F.row_number().over(w)).where(f"r <= {FORMS}").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("n", "form")), asc=False).alias("best"))
-    least = F.col("n") * F.when(F.col("n") <= 2, RARE).when(F.col("form").rlike(r"^[\p{L}'’.-]+$"), WORD).otherwise(RATIO)
-    asked = forms.join(best, "group").where(least <= F.col("best")[0]["n"])
-    asked = asked.select("form", F.transform(F.filter("best", lambda b: b["n"] >= least), lambda b: b["form"]).alias("candidates"))
+def candidates(counts: DataFrame) -> DataFrame:
+    """(form, stood, n, m, sure): the frequent forms of a form's skeleton group that it can be a misreading of.
+
+    n and m tell how often the two occur. Forms of one letter carry no evidence and are left as they are.
+    """
+    alike = F.col("form").rlike(r"\p{L}") & (F.length("form") >= 2) & ~F.col("form").rlike(r"\w@\w|^@\w+_|[=;]|\d{3}")
+    odd = ~F.col("form").rlike(r"^[\p{L}'’.-]+$")
+    forms = cut(counts.where(alike).select("form", "n", odd.alias("odd"), F.explode(F.array(skeleton(F.col("form")), second_skeleton(F.col("form")))).alias("group")))
+    plain = forms.where(~F.col("odd") & (F.col("n") >= SUPPORT)).select("group", F.col("form").alias("stood"), F.col("n").alias("m"))
+    asked = forms.join(plain, "group").where((F.col("form") != F.col("stood")) & (F.col("m") >= F.col("n") * F.when(F.col("odd"), 1).otherwise(RARE)))
+    asked = asked.select("form", "stood", "n", "m", "odd").distinct()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for form, candidates in b.itertuples(index=False):
-                stood = next((c for c in candidates if explains(form, c)), None)
-                if stood:
-                    rows.append((form, stood))
-            yield pd.DataFrame(rows, columns=["form", "stood"])
+            yield b[[explains(f, c) for f, c in zip(b["form"], b["stood"])]]
 
-    return asked.mapInPandas(check, "form string, stood string").groupBy("form").agg(F.min("stood").alias("stood"))
+    pairs = asked.mapInPandas(check, asked.schema)
+    sure = F.when(F.col("odd"), F.col("m") >= RARE * F.col("n")).otherwise(F.col("m") >= WORD * F.col("n"))
+    return pairs.select("form", "stood", "n", "m", "odd", sure.alias("sure"))
+
+
+def in_context(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(f, p, n, stood): for each form that is doubtful or has several candidates, beside each pair of neighbours, the form that stood there.
+
+    A candidate's support is how often it occurs in the corpus beside the same neighbours. The best
+    supported one is taken, the more frequent among equals, if it is sure by itself or CLEAR times as well supported as the form
+    read.
+    """
+    w = Window.partitionBy("form")
+    several = pairs.withColumn("k", F.count("*").over(w)).where("k > 1 or not sure").drop("k")
+    several = small(cut(several.select(F.col("form").alias("f"), "stood", "m", "sure")), "octet_length(f) + octet_length(stood) + 32")
+    words = lines.select(F.filter(F.split(unbroken(), r"\s+"), lambda x: x != "").alias("ws"))
+    at = neighbours(words, "ws").select("f", "p", "n")
+    places = at.join(several.select("f").distinct(), "f", "left_semi").distinct()
+    places = cut(places.join(several, "f"))
+
+    def both(word: str) -> Column:
+        return F.array(F.xxhash64(F.lit("a"), "p", word), F.xxhash64(F.lit("a"), word, "n"))
+
+    asked = small(cut(places.select(F.explode(F.concat(both("f"), both("stood"))).alias("h")).distinct()), "16")
+    seen = at.where("n is not null").select(F.xxhash64(F.lit("a"), "f", "n").alias("h")).join(asked, "h").groupBy("h").agg(F.count("*").alias("c"))
+    seen = small(cut(seen), "24")
+    known = places.select("f", "p", "n", "stood", "m", "sure", F.explode(F.array(*(F.struct(F.xxhash64(F.lit("a"), *pair).alias("h"), F.lit(own).alias("own"), F.col(side).isNotNull().alias("has")) for pair, own, side in ((("p", "f"), True, "p"), (("f", "n"), True, "n"), (("p", "stood"), False, "p"), (("stood", "n"), False, "n"))))).alias("e"))
+    known = known.select("f", "p", "n", "stood", "m", "sure", "e.*").where("has").join(seen, "h", "left")
+    scored = known.groupBy("f", "p", "n", "stood", "m", "sure").agg(F.sum(F.when(F.col("own"), F.coalesce("c", F.lit(0))).otherwise(0)).alias("mine"), F.sum(F.when(~F.col("own"), F.coalesce("c", F.lit(0))).otherwise(0)).alias("support"))
+    held = scored.where((F.col("sure")) | ((F.col("support") >= SUPPORT) & (F.col("support") >= CLEAR * F.greatest("mine", F.lit(1)))))
+    return held.groupBy("f", "p", "n").agg(F.max(F.struct("support", "m", "stood"))["stood"].alias("stood"))
 
 
 def misshapen(word: Column) -> Column:
@@ -211,22 +251,21 @@ def misshapen(word: Column) -> Column:
     return plain & (word.rlike(r"\p{L}[|{]|[|{]\p{L}|\p{L}[!@$]\p{L}|\\/|\p{Ll}[01598]\p{Ll}|\p{Ll}{2}[0159]$|^[0159]\p{Ll}{3}|\p{Lu}[05]\p{Lu}{2}") & ~word.rlike(r"^\d+(?:st|nd|rd|th|er|e|o|a)$|\d{3}"))
 
 
-def number_masks(words: DataFrame) -> DataFrame:
-    """(shape, n): how often each shape of a word with digits occurs."""
-    return words.where(F.col("t").rlike(r"\d")).groupBy(mask(F.col("t")).alias("shape")).agg(F.count("*").alias("n"))
+#: Glyphs within words that no spelling has, and the letters that they most often stand for (fixed values).
+GLYPHS = {"0": "o", "1": "l", "5": "s", "8": "b", "9": "g", "|": "l", "{": "f", "!": "i", "@": "a", "$": "s"}
 
 
-def find(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> DataFrame:
+def find(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(unit, unit_id, kind): furniture, hyphen and misread cases of scanned narratives and of lines, each once.
 
     Null and empty texts are no cases. Lines of furniture have no other kind. Redelivered rows count once.
-    Statistics cover the lines of all texts; only scanned texts are searched.
+    Statistics cover the lines of all texts and, if given, the ``words`` of native pages; only scanned texts are searched.
     """
-    marked, broken, wrong = _cases(narratives, ocr_lines, anchors)
+    marked, broken, read = _read(narratives, ocr_lines, anchors, words)
     kinds = [
         marked.where("furniture and scanned").select("unit", F.col("id").alias("unit_id"), F.lit("furniture").alias("kind")),
         broken.where("hyphen").select("unit", F.col("id").alias("unit_id"), F.lit("hyphen").alias("kind")),
-        wrong.select("unit", F.col("id").alias("unit_id"), F.lit("misread").alias("kind")),
+        read.where("stood is not null and (unit = 'narrative' or not furniture)").select("unit", F.col("id").alias("unit_id"), F.lit("misread").alias("kind")),
     ]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).distinct()
 
@@ -255,67 +294,74 @@ def joined_words(marked: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.withColumn("hyphen", hyphen).select("unit", "id", "grp", "sub", "pos", "head", "tail", "hyphen")
 
 
-def scanned_words(marked: DataFrame, broken: DataFrame) -> DataFrame:
-    """(unit, id, t): the words of scanned narratives and lines, broken ones put together."""
-    words = marked.where("scanned and (unit = 'narrative' or not furniture)").select("unit", "id", F.explode(F.split(unbroken(), r"\s+")).alias("w"))
-    words = words.select("unit", "id", token(F.col("w")).alias("t")).where("t <> ''")
-    return words.unionByName(broken.where("hyphen").select("unit", "id", token(F.concat("head", "tail")).alias("t")))
-
-
-def numbers(words: DataFrame) -> DataFrame:
-    """(number, digits): words that are numbers with letters read for digits, and the number that stood there.
+def numbers(forms: DataFrame) -> DataFrame:
+    """(t, stood): words that are numbers with letters read for digits, and the number that stood there.
 
     The shape with digits in their place is a common one, the shape as read is rare beside it.
     """
-    shapes = cut(number_masks(words))
-    common = shapes.where(f"n >= {RATIO * SUPPORT}").select("shape", F.col("n").alias("common"))
+    shaped = forms.where(F.col("t").rlike(r"\d")).withColumn("own", mask(F.col("t")))
+    shapes = cut(shaped.groupBy("own").agg(F.sum("n").alias("k")))
     letters, digits = "".join(DIGITS), "".join(DIGITS.values())
-    found = words.where(F.col("t").rlike(rf"\d.*[{re.escape(letters)}]|[{re.escape(letters)}].*\d") & ~F.col("t").rlike(r"@|_|\p{L}{4}")).select(F.col("t").alias("number")).distinct()
-    found = found.withColumn("digits", F.translate("number", letters, digits)).withColumn("own", mask(F.col("number"))).withColumn("stood", mask(F.col("digits")))
-    found = found.join(small(common, "64"), F.col("stood") == common["shape"]).drop(common["shape"])
-    found = found.join(small(shapes.select(F.col("shape").alias("own"), "n"), "64"), "own").where(F.col("n") * RATIO <= F.col("common"))
-    return found.select("number", "digits")
+    found = shaped.where(F.col("t").rlike(rf"\d.*[{re.escape(letters)}]|[{re.escape(letters)}].*\d") & ~F.col("t").rlike(r"@|_|\p{L}{4}"))
+    found = found.withColumn("stood", F.translate("t", letters, digits)).withColumn("shape", mask(F.col("stood"))).select("t", "stood", "own", "shape")
+    found = found.join(shapes.where(f"k >= {RATIO * SUPPORT}").select(F.col("own").alias("shape"), F.col("k").alias("common")), "shape")
+    return found.join(shapes, "own").where(F.col("k") * RATIO <= F.col("common")).select("t", "stood")
 
 
-def _cases(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def stream(marked: DataFrame, broken: DataFrame) -> DataFrame:
+    """(unit, id, grp, sub, pos, paragraph, furniture, ws): the words of each scanned line, a broken word put together on the line it began on."""
+    w = Window.partitionBy("unit", "grp", "sub").orderBy("pos")
+    rows = marked.where("scanned").withColumn("paragraph", F.sum(F.when((F.col("line") == "") & ~F.col("furniture"), 1).otherwise(0)).over(w)).where("line <> ''")
+    rows = rows.join(broken.select("unit", "grp", "sub", "pos", "tail", "hyphen", F.lit(True).alias("breaks")), ["unit", "grp", "sub", "pos"], "left")
+    rows = rows.withColumn("moved", F.lag("breaks").over(Window.partitionBy("unit", "grp", "sub", "furniture").orderBy("pos")) & ~F.col("furniture"))
+    line = F.when(F.col("moved"), F.regexp_replace("line", r"^\S+\s*", "")).otherwise(F.col("line"))
+    line = F.when(F.col("breaks"), F.concat(F.when(F.col("hyphen"), F.regexp_replace(line, rf"{MARK}+$", "")).otherwise(line), F.col("tail"))).otherwise(line)
+    return rows.select("unit", "id", "grp", "sub", "pos", "paragraph", "furniture", F.filter(F.split(line, r"\s+"), lambda x: x != "").alias("ws"))
+
+
+def _read(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame, words: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marked lines, broken words, words of scanned lines with what stood there if they are misread)."""
     lines = lines_of(narratives, ocr_lines)
     marked = cut(furniture(lines, anchors))
-    counts = cut(vocabulary(marked))
+    native = None if words is None else once(words.where("source_provider_type = 'native_pdf' and text is not null").select("word_key", "text"), "word_key")
+    forms = cut(vocabulary(marked, native))
+    counts = cut(forms.groupBy(F.lower("t").alias("form")).agg(F.sum("n").alias("n")))
     broken = cut(joined_words(marked, counts))
-    wrong_forms = small(cut(corrections(counts)), "octet_length(form) + octet_length(stood) + 32")
-    words = cut(scanned_words(marked, broken))
-    by_form = words.join(wrong_forms, F.lower("t") == F.col("form")).select("unit", "id")
-    by_shape = words.where(misshapen(F.col("t"))).select("unit", "id")
-    read = small(cut(numbers(words)), "octet_length(number) + octet_length(digits) + 32")
-    by_number = words.join(read, F.col("t") == F.col("number")).select("unit", "id")
-    return marked, broken, by_form.unionByName(by_shape).unionByName(by_number)
-
-
-def repair(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    pairs = cut(candidates(counts))
+    contextual = small(cut(in_context(pairs, marked)), "octet_length(f) + octet_length(stood) + 64").withColumnRenamed("stood", "beside")
+    alone = pairs.groupBy("form").agg(F.count("*").alias("k"), F.max("sure").alias("sure"), F.max("stood").alias("stood")).where("k = 1 and sure")
+    alone = small(cut(alone.select(F.col("form").alias("f"), F.col("stood").alias("single"))), "octet_length(f) + octet_length(single) + 32")
+    shaped = forms.where(misshapen(F.col("t"))).select("t", F.translate(F.lower("t"), "".join(GLYPHS), "".join(GLYPHS.values())).alias("least"))
+    by_word = small(cut(numbers(forms).withColumn("least", F.lit(None).cast("string")).unionByName(shaped.select("t", F.lit(None).cast("string").alias("stood"), "least")).groupBy("t").agg(F.max("stood").alias("number"), F.max("least").alias("least"))), "octet_length(t) * 2 + 48")
+    read = neighbours(stream(marked, broken), "ws")
+    read = read.join(alone, "f", "left").join(contextual.withColumnsRenamed({"f": "cf", "p": "cp", "n": "cn"}), (F.col("f") == F.col("cf")) & F.col("p").eqNullSafe(F.col("cp")) & F.col("n").eqNullSafe(F.col("cn")), "left").drop("cf", "cp", "cn")
+    read = read.join(by_word, "t", "left")
+    upper, capital = F.col("t").rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"), F.col("t").rlike(r"^\p{Lu}")
+    word = F.coalesce("beside", "single", "least")
+    word = F.when(upper, F.upper(word)).when(capital, F.concat(F.upper(F.substring(word, 1, 1)), F.expr("substring(coalesce(beside, single, least), 2)"))).otherwise(word)
+    return marked, broken, read.withColumn("stood", F.coalesce("number", word)).drop("beside", "single", "least", "number")
+
+
+def repair(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(unit, grp, sub, paragraph, text): continuous paragraphs of scanned narratives and pages without furniture, breaks and misreadings.
 
     grp is the narrative_id or the document_id, sub the page of a document. Paragraphs end at blank lines.
-    A broken word is put together on the line it began on. Texts without any line left give no row.
+    A broken word is put together on the line it began on. Every word that find() takes for misread is
+    put right. Texts without any line left give no row.
     """
-    lines = lines_of(narratives, ocr_lines)
-    marked = cut(furniture(lines, anchors))
-    counts = cut(vocabulary(marked))
-    broken = cut(joined_words(marked, counts))
-    wrong = small(cut(corrections(counts)), "octet_length(form) + octet_length(stood) + 32")
-    read = small(cut(numbers(cut(scanned_words(marked, broken)))), "octet_length(number) + octet_length(digits) + 32")
-    kept = marked.where("scanned and not furniture")
-    w = Window.partitionBy("unit", "grp", "sub").orderBy("pos")
-    kept = kept.join(broken.select("unit", "grp", "sub", "pos", "tail", "hyphen", F.lit(True).alias("breaks")), ["unit", "grp", "sub", "pos"], "left")
-    kept = kept.withColumn("paragraph", F.sum((F.col("line") == "").cast("int")).over(w)).where("line <> ''").withColumn("moved", F.lag("breaks").over(w))
-    line = F.when(F.col("moved"), F.regexp_replace("line", r"^\S+\s*", "")).otherwise(F.col("line"))
-    line = F.when(F.col("breaks"), F.concat(F.when(F.col("hyphen"), F.regexp_replace(line, rf"{MARK}+$", "")).otherwise(line), F.col("tail"))).otherwise(line)
-    kept = kept.withColumn("line", line).where("line <> ''")
-    words = kept.select("unit", "grp", "sub", "paragraph", "pos", F.posexplode(F.split("line", r"\s+")).alias("i", "w"))
-    fixed = words.withColumn("t", token(F.col("w"))).join(wrong, F.lower("t") == F.col("form"), "left").join(read, F.col("t") == F.col("number"), "left")
-    upper = F.col("t").rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$")
-    capital = F.col("t").rlike(r"^\p{Lu}")
-    stood = F.when(upper, F.upper("stood")).when(capital, F.initcap("stood")).otherwise(F.col("stood"))
-    stood = F.coalesce("digits", stood)
-    fixed = fixed.withColumn("w", F.when(stood.isNull() | (F.col("t") == ""), F.col("w")).otherwise(F.replace(F.col("w"), F.col("t"), stood)))
-    texts = fixed.groupBy("unit", "grp", "sub", "paragraph").agg(F.sort_array(F.collect_list(F.struct("pos", "i", "w"))).alias("ws"))
-    return texts.select("unit", "grp", "sub", "paragraph", F.array_join("ws.w", " ").alias("text"))
+    _, _, read = _read(narratives, ocr_lines, anchors, words)
+    fixed = read.where("not furniture").withColumn("w", F.when(F.col("stood").isNull() | (F.col("t") == ""), F.col("w")).otherwise(F.replace(F.col("w"), F.col("t"), F.col("stood"))))
+    lines = fixed.groupBy("unit", "grp", "sub", "paragraph", "pos").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "w")))["w"], " ").alias("line"))
+    texts = lines.groupBy("unit", "grp", "sub", "paragraph").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    return texts.select("unit", "grp", "sub", "paragraph", F.array_join("ls.line", " ").alias("text"))
+
+
+def misread_words(narratives: DataFrame, ocr_lines: DataFrame, anchors: DataFrame, words: DataFrame) -> DataFrame:
+    """(word_key, text, stood): the words of scanned pages that are misread, with what stood there, as far as the word alone tells.
+
+    Null texts are no cases; redelivered rows come out once.
+    """
+    _, _, read = _read(narratives, ocr_lines, anchors, words)
+    best = cut(read.where("stood is not null").groupBy("t", "stood").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", "stood"))["stood"].alias("stood")))
+    scanned = once(words.where("source_provider_type = 'traditional_ocr' and text is not null").select("word_key", F.regexp_replace("text", r"\s+$", "").alias("text")), "word_key").withColumn("t", token(F.col("text")))
+    return scanned.join(small(best, "octet_length(t) + octet_length(stood) + 32"), "t").select("word_key", "text", F.replace("text", "t", "stood").alias("stood"))

@@ -18,18 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsieve.session import small
+from docsieve.session import cut, small
 
 #: Code points of a range of a text, bytes of a range of a file, and code points of context on either side.
 RANGE, FILE_RANGE, HALO = 1 << 16, 1 << 22, 64
 
-#: Boundaries in falling order of preference: paragraph, sentence, line, clause, word. A cut falls at the match's end.
+#: Boundaries in falling order of preference: paragraph, sentence, line, clause, word. A cut falls at the match's end. No match is
+#: longer than the halo, so a boundary is seen alike from every range: behind more white space than that, it counts as one of a word.
 BOUNDARIES = (
-    (5, re.compile(r"\n[^\S\n]*\n\s*")),
-    (4, re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+(?!\s)(?=[^a-z])")),
+    (5, re.compile(r"\n[^\S\n]{0,16}\n\s{0,40}(?!\s)")),
+    (4, re.compile(r"[.!?…。！？][\"'”’»)\]]{0,4}\s{1,44}(?!\s)(?=[^a-z])")),
     (3, re.compile(r"\n(?!\s)")),
-    (2, re.compile(r"[,;:—–][\"'”’»)\]]*\s+(?!\s)")),
-    (1, re.compile(r"\s+(?!\s)")),
+    (2, re.compile(r"[,;:—–][\"'”’»)\]]{0,4}\s{1,44}(?!\s)")),
+    (1, re.compile(r"\s(?!\s)")),
 )
 _ABBREVIATION = re.compile(r"(?:\b(?:Mr|Ms|Mrs|Dr|St|Ave|Rd|Blvd|Ln|Ct|No|Sr|Sra|Mme|approx|vs)|\b[A-Z])\.\s+$")
 
@@ -38,10 +39,11 @@ def _with_plan(items: DataFrame) -> DataFrame:
     """Adds overlap and usable: a cut lies in (before, before + usable], the first one in (overlap, overlap + usable].
 
     Neighbouring cuts are thus usable = max_chars - overlap apart at most. A negative overlap counts
-    as 0, one of more than half of max_chars as half of it.
+    as 0. An overlap that is not smaller than max_chars cannot be kept, as pieces would not advance: it raises.
     """
-    overlap = F.greatest(F.lit(0), F.least("overlap_chars", F.floor(F.col("max_chars") / 2).cast("int")))
-    return items.withColumn("overlap", overlap).withColumn("usable", F.greatest(F.lit(1), F.col("max_chars") - F.col("overlap")))
+    overlap = F.greatest(F.lit(0), F.col("overlap_chars"))
+    checked = F.when(overlap < F.col("max_chars"), overlap).otherwise(F.raise_error(F.lit("overlap_chars must be smaller than max_chars")).cast("int"))
+    return items.withColumn("overlap", checked.cast("int")).withColumn("usable", (F.col("max_chars") - F.col("overlap")).cast("int"))
 
 
 def boundaries(left: str, body: str, right: str, offset: int) -> tuple[list[int], list[int]]:
@@ -200,33 +202,44 @@ def split_items(items: DataFrame, limits: DataFrame, key: str, text: str = "text
 
 
 def file_ranges(spark: SparkSession, paths: list[str], size: int = FILE_RANGE, halo: int = HALO) -> DataFrame:
-    """Ranges of UTF-8 files on a shared file system, read by byte offset.
+    """Ranges (item, grid, head, body, tail) of UTF-8 files on any file system that the cluster's Hadoop client knows, read by byte offset.
 
-    A range begins at the first code point that starts in it and takes in the rest of its last one.
-    Offsets in code points are prefix sums of the lengths of the ranges.
+    A range begins at the first code point that starts in it and takes in the rest of its last one. Files
+    are split by the byte: a record of a source of fixed width is a range, its neighbours give the halo.
     """
-    rows = [(p, k) for p in paths for k in range(-(-os.path.getsize(p) // size))]
-    asked = spark.createDataFrame(rows, "item string, grid bigint").repartition(max(1, min(len(rows), 4096)), "item", "grid")
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    rows = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        n = path.getFileSystem(hadoop).getFileStatus(path).getLen()
+        rows += [(p, k, n) for k in range(-(-n // size))]
+    asked = spark.createDataFrame(rows, "item string, grid bigint, size bigint").repartition(max(1, min(len(rows), 4096)), "item", "grid")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for b in batches:
-            out = []
-            for item, k in b.itertuples(index=False):
+            for item, k, n in b.itertuples(index=False):
                 at, margin = k * size, 4 * halo + 4
-                with open(item, "rb") as f:
-                    f.seek(first := max(0, at - margin))
-                    data = f.read(at - first + size + margin)
+                system, path = fs.FileSystem.from_uri(item if "://" in item or item.startswith("file:") else f"file://{item}")
+                with system.open_input_file(path) as f:
+                    first = max(0, at - margin)
+                    data = f.read_at(min(n, at + size + margin) - first, first)
                 lo, hi = _start(data, at - first), _start(data, at - first + size)
                 head = data[_start(data, 0) : lo].decode()[-halo:]
                 tail = data[hi : _start(data, max(hi, len(data) - 3), back=True)].decode(errors="ignore")[:halo]
-                out.append((item, k, head, data[lo:hi].decode(), tail))
-            yield pd.DataFrame(out, columns=["item", "grid", "head", "body", "tail"])
+                yield pd.DataFrame([(item, k, head, data[lo:hi].decode(), tail)], columns=["item", "grid", "head", "body", "tail"])
+
+    return asked.mapInPandas(read, "item string, grid bigint, head string, body string, tail string")
 
-    ranges = asked.mapInPandas(read, "item string, grid bigint, head string, body string, tail string")
-    w = Window.partitionBy("item")
-    length = F.length("body").cast("bigint")
-    offset = F.coalesce(F.sum(length).over(w.orderBy("grid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranges.withColumn("offset", offset).withColumn("n", F.sum(length).over(w))
+
+def placed(ranges: DataFrame) -> DataFrame:
+    """``ranges`` with offset and n, in code points: prefix sums of a table of lengths alone, joined back by item and place."""
+    lengths = ranges.select("item", "grid", F.length("body").cast("bigint").alias("_len"))
+    w = Window.partitionBy("item").orderBy("grid")
+    sums = lengths.withColumn("offset", F.coalesce(F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = lengths.groupBy("item").agg(F.sum("_len").alias("n"))
+    return ranges.join(sums.select("item", "grid", "offset").join(total, "item"), ["item", "grid"])
 
 
 def _start(data: bytes, at: int, back: bool = False) -> int:
@@ -242,9 +255,7 @@ def _start(data: bytes, at: int, back: bool = False) -> int:
 
 def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, size: int = FILE_RANGE) -> DataFrame:
     """Pieces (item, piece, start_offset, end_offset, text) of giant text files; a file within the limit is one piece, an empty one none."""
-    from docsieve.session import cut
-
-    ranges = cut(file_ranges(spark, paths, size))
+    ranges = cut(placed(cut(file_ranges(spark, paths, size))))
     planned = _with_plan(ranges.withColumn("max_chars", F.lit(max_chars)).withColumn("overlap_chars", F.lit(overlap_chars)))
     long = planned.where("n > max_chars")
     pieces = piece_table(cut_table(long))

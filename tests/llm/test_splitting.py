@@ -29,7 +29,7 @@ def test_pieces_cover_the_text_within_the_limit(spark, size):
         by.setdefault(r["item"], []).append(r)
     assert set(by) == {1, 2, 5, 6} == {r[0] for r in cuts.select("item").distinct().collect()}
     texts = {r[0]: r[2] for r in ROWS}
-    for k, (most, overlap) in {1: (120, 15), 2: (100, 0), 5: (50, 25), 6: (100, 0)}.items():
+    for k, (most, overlap) in {1: (120, 15), 2: (100, 0), 5: (50, 40), 6: (100, 0)}.items():
         assert [r.piece for r in by[k]] == list(range(len(by[k])))
         check(texts[k], by[k], most, overlap)
     ends = [r.text[-1] for r in by[1][:-1]]
@@ -55,3 +55,20 @@ def test_empty(spark):
     items = spark.createDataFrame([], "id int, source string, text string")
     assert S.split_items(items, spark.createDataFrame(LIMITS, "source string, max_chars int, overlap_chars int"), "id")[1].count() == 0
     assert S.split_items(spark.createDataFrame(ROWS, "id int, source string, text string"), spark.createDataFrame([], "source string, max_chars int, overlap_chars int"), "id")[0].count() == 0
+
+
+def test_overlap_is_kept_or_refused(spark):
+    items = spark.createDataFrame([(1, "a", "word " * 60)], "id int, source string, text string")
+    pieces = S.split_items(items, spark.createDataFrame([("a", 50, 40)], "source string, max_chars int, overlap_chars int"), "id")[1].orderBy("piece").collect()
+    check("word " * 60, pieces, 50, 40)
+    with pytest.raises(Exception, match="smaller than max_chars"):
+        S.split_items(items, spark.createDataFrame([("a", 50, 50)], "source string, max_chars int, overlap_chars int"), "id")[1].collect()
+
+
+def test_a_file_of_many_ranges_and_long_white_space(spark, tmp_path):
+    text = ("Some words é here. " * 30 + " " * 150 + "\n\n\n" + "x" * 90) * 20
+    f = tmp_path / "many"
+    f.write_text(text, encoding="utf-8")
+    got = [sorted((r.piece, r.start_offset, r.end_offset, r.text) for r in S.split_files(spark, [str(f)], 200, 30, size=n).collect()) for n in (101, 1 << 20)]
+    assert got[0] == got[1] and len(text.encode()) > 100 * 101
+    assert all(text[a:b] == t for _, a, b, t in got[0])
