@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsieve.functions.spans import spans
+from docsieve.operators import builders as B
+from docsieve.operators import diagrams as X
 from docsieve.operators import documents as D
 from docsieve.operators import entities as E
 from docsieve.operators import evaluation as V
@@ -104,10 +106,10 @@ _CONTACT = tuple(r for r in R.RECOGNIZERS if r.entity_type in ("PHONE_NUMBER", "
 
 @query(f"""
     WITH {_spans_sql('documents', 'doc_id', _CONTACT)}
-    SELECT doc_id, entity_type, CAST(stop - length(val) AS INT) AS start_offset, val AS value FROM placed""")
+    SELECT doc_id, entity_type, CAST(stop - length(val) AS INT) AS start_offset, CAST(stop AS INT) AS end_offset FROM placed""")
 def pii_contacts(spark: SparkSession, d: str) -> DataFrame:
     found = R.detect(table(spark, d, "documents").select("doc_id", "text"), "doc_id", scope="page", recognizers=_CONTACT)
-    return found.select("doc_id", "entity_type", "start_offset", F.regexp_replace("text", r"[\x{C0}-\x{24F}]", "_").alias("value"))
+    return found.select("doc_id", "entity_type", "start_offset", "end_offset")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -118,19 +120,40 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return E.redact(docs, found, "doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), "redacted_text")
 
 
-@query()
+_VALID_SQL = f"""(entity_type <> 'VIN' OR substr(val, 9, 1) = (CASE WHEN {_VIN_SQL} = 10 THEN 'X' ELSE CAST({_VIN_SQL} AS VARCHAR) END))
+      AND (entity_type <> 'DATE_OF_BIRTH' OR (len(split_part(replace(val, '-', '/'), '/', 3)) = 4 AND try_strptime(replace(val, '-', '/'), '%m/%d/%Y') BETWEEN TIMESTAMP '1900-01-01' AND TIMESTAMP '2026-01-01'))"""
+
+
+@query(f"""
+    WITH {_spans_sql('documents', 'doc_id', R.RECOGNIZERS)},
+    f AS (SELECT doc_id, entity_type, CAST(stop - length(val) AS BIGINT) AS start_offset, CAST(stop - length(val) + length(rtrim(val, E' \\n\\t\\r')) AS BIGINT) AS end_offset FROM placed WHERE {_VALID_SQL}),
+    c AS (SELECT doc_id, count(*) AS entity_count FROM f GROUP BY ALL), s AS (SELECT DISTINCT * FROM f WHERE end_offset > start_offset),
+    o AS (SELECT *, max(end_offset) OVER (PARTITION BY doc_id ORDER BY start_offset, end_offset DESC, entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach <= start_offset THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_offset, end_offset DESC, entity_type ROWS UNBOUNDED PRECEDING) AS island FROM o),
+    g AS (SELECT doc_id, island, min(start_offset) AS a, max(end_offset) AS b, arg_min(entity_type, (start_offset - end_offset, start_offset, entity_type)) AS t FROM i GROUP BY ALL),
+    l AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM g)
+    SELECT n.doc_id, coalesce(any_value(c.entity_count), 0) AS entity_count, coalesce(string_agg(substr(n.text, before + 1, a - before) || '[' || t || ']' || CASE WHEN next IS NULL THEN substr(n.text, b + 1) ELSE '' END, '' ORDER BY a), any_value(n.text)) AS redacted_text
+    FROM documents n LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) WHERE n.text IS NOT NULL GROUP BY n.doc_id""")
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return flagship(spark, d)
 
 
-_LOG_SQL = "text"
+@query()
+def log_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", R.log_filter(F.col("text")).alias("line"))
+
+
+_LOG_SQL = "t"
 for _p, _by in R.LOG_PATTERNS:
     _LOG_SQL = f"regexp_replace({_LOG_SQL}, '{_p}', '{_by}', 'g')"
 
 
-@query(f"SELECT doc_id, {_LOG_SQL.replace('text', 't')} AS line FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS t FROM documents)")
-def log_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", R.log_filter(F.regexp_replace("text", r"[\x{C0}-\x{24F}]", "_")).alias("line"))
+@query(f"""SELECT doc_id, CAST(length(line) AS INT) AS chars, {' + '.join(f"CAST((length(line) - length(replace(line, '{by}', ''))) / {len(by)} AS INT)" for _, by in R.LOG_PATTERNS)} AS marks
+    FROM (SELECT doc_id, {_LOG_SQL} AS line FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS t FROM documents))""")
+def log_filter_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and marks of filtered lines: what SQL can compare without its own notion of letters."""
+    marks = sum((((F.length("line") - F.length(F.replace(F.col("line"), F.lit(by)))) / len(by)).cast("int") for _, by in R.LOG_PATTERNS), F.lit(0))
+    return log_filter(spark, d).select("doc_id", F.length("line").alias("chars"), marks.alias("marks"))
 
 
 _ALL_VINS = "SELECT narrative_id, unnest(regexp_extract_all(text, '\\b[A-HJ-NPR-Z0-9]{17}\\b')) AS val FROM n"
@@ -346,14 +369,6 @@ def template_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "templates").where(F.upper(F.trim(F.coalesce("jurisdiction", F.lit("")))).isin("QN", "KQ")).select("template_id", "version")
 
 
-@query(f"""WITH {_N}, s AS (SELECT narrative_id, text, anchor_start, anchor_end, strpos(lower(text), lower(anchor_end)) - 1 AS e FROM n WHERE text IS NOT NULL)
-    SELECT narrative_id, CAST(CASE WHEN anchor_end IS NOT NULL AND e >= 0 THEN e ELSE length(text) END AS INT) AS end_offset, coalesce(anchor_end IS NOT NULL AND e >= 0, false) AS end_found FROM s""")
-def anchor_span(spark: SparkSession, d: str) -> DataFrame:
-    n = narratives(spark, d).where("text is not null")
-    span = T.between(F.col("text"), F.lit(None).cast("string"), F.col("anchor_end"))
-    return n.select("narrative_id", span.alias("s")).select("narrative_id", F.col("s.end_offset").cast("int").alias("end_offset"), F.col("s.end_found").alias("end_found"))
-
-
 # --- regions, review, files --------------------------------------------------------------------
 
 _REGION_SQL = f"""{_PAGES_SQL}, sections AS (SELECT pt.document_id, pt.page_index, pt.text, t.template_id, t.regions['narrative'].anchor_start AS a, t.regions['narrative'].anchor_end AS b FROM pt CROSS JOIN templates t),
@@ -437,7 +452,7 @@ def latest_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM (SELECT DISTINCT path, source FROM files) GROUP BY ALL")
-def license_counts(spark: SparkSession, d: str) -> DataFrame:
+def files_by_source(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "files").select("path", "source").distinct().groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
 
 
@@ -477,12 +492,6 @@ def report_view(spark: SparkSession, d: str) -> DataFrame:
     return g.select(report_id(F.sha2(F.col("narrative_id").cast("string"), 256)).alias("report_id"), "narrative_id", "qa_flags", (~F.col("export_blocked")).alias("exported"))
 
 
-@query()
-def export_manifests(spark: SparkSession, d: str) -> DataFrame:
-    g = Q.gate(narratives(spark, d), entities(spark, d))
-    return manifests(g.select(F.sha2(F.col("narrative_id").cast("string"), 256).alias("sha256"), F.lit("UNKNOWN").alias("template_id"), "export_decision", "qa_flags"))
-
-
 @query(f"""WITH {_N}, x AS (SELECT n.narrative_id, unnest(n.warnings) AS code, generate_subscripts(n.warnings, 1) AS i FROM n WHERE n.warnings IS NOT NULL)
     SELECT narrative_id, code, CAST(min(i) - 1 AS INT) AS first_at FROM x WHERE code IS NOT NULL GROUP BY ALL""")
 def warnings_deduplicated(spark: SparkSession, d: str) -> DataFrame:
@@ -507,3 +516,171 @@ def pii_eval(spark: SparkSession, d: str) -> DataFrame:
     n = narratives(spark, d).select("narrative_id", "text")
     gold = entities(spark, d).where("start_offset is not null and end_offset > start_offset").select("narrative_id", "entity_type", "start_offset", "end_offset").distinct()
     return V.f1(R.detect(n, "narrative_id"), gold, "narrative_id")
+
+
+# --- both anchors, diagrams, the gate over documents, builders, sinks -----------------------------
+
+
+@query(f"""WITH {_REGION_SQL}, x AS (SELECT document_id, page_index, template_id, text, a, b, CASE WHEN a IS NULL THEN -1 ELSE strpos(lower(text), lower(a)) - 1 END AS s FROM sections WHERE text <> ''),
+    y AS (SELECT *, CASE WHEN s >= 0 THEN s + length(a) ELSE 0 END AS begin_ FROM x), z AS (SELECT *, CASE WHEN b IS NULL OR b = '' THEN -1 ELSE CASE WHEN strpos(substr(lower(text), CAST(begin_ AS BIGINT) + 1), lower(b)) > 0 THEN begin_ + strpos(substr(lower(text), CAST(begin_ AS BIGINT) + 1), lower(b)) - 1 ELSE -1 END END AS e FROM y)
+    SELECT document_id, page_index, template_id, CAST(begin_ AS INT) AS start_offset, CAST(CASE WHEN e >= 0 THEN e ELSE length(text) END AS INT) AS end_offset, a IS NULL OR s >= 0 AS start_found, b IS NULL OR e >= 0 AS end_found FROM z""")
+def anchor_span(spark: SparkSession, d: str) -> DataFrame:
+    p = D.page_text(words(spark, d)).where("text <> ''").join(F.broadcast(G.narrative_regions(table(spark, d, "templates"))), F.lit(True))  # a row for each template
+    s = p.select("document_id", "page_index", "template_id", T.between(F.col("text"), F.col("anchor_start"), F.col("anchor_end")).alias("s"))
+    return s.select("document_id", "page_index", "template_id", *(F.col(f"s.{c}").cast("int").alias(c) for c in ("start_offset", "end_offset")), "s.start_found", "s.end_found")
+
+
+def _fuzzy_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    texts = cut(_document_texts(spark, d))
+    cover = cut(T.coverage(T.find_anchors(texts, _anchors(spark, d), "document_id"), "document_id"))
+    return texts, cover, cut(T.score(texts, cover, table(spark, d, "templates"), "document_id"))
+
+
+@query()
+def template_score_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return _fuzzy_scores(spark, d)[2]
+
+
+@query()
+def template_evidence(spark: SparkSession, d: str) -> DataFrame:
+    texts, cover, scores = _fuzzy_scores(spark, d)
+    return T.evidence(texts, scores, cover, "document_id")
+
+
+@query()
+def narrative_extract(spark: SparkSession, d: str) -> DataFrame:
+    return G.extract(cut(D.page_text(words(spark, d))), G.narrative_regions(table(spark, d, "templates")))
+
+
+@query(f"""WITH {_W}, {_P}, c AS (SELECT w.document_id, w.page_index, CAST(least(greatest(floor((w.bbox.y0 + w.bbox.y1) / 2 * 4 / p.height), 0), 3) AS INT) AS band, count(*) AS n FROM w JOIN p USING (document_id, page_index) WHERE w.bbox IS NOT NULL AND p.height > 0 GROUP BY ALL),
+    b AS (SELECT p.document_id, p.page_index, b.band, coalesce(c.n, 0) AS n FROM p CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS band) b LEFT JOIN c ON c.document_id = p.document_id AND c.page_index = p.page_index AND c.band = b.band),
+    a AS (SELECT document_id, page_index, count(*) AS n_all FROM w GROUP BY ALL),
+    g AS (SELECT document_id, page_index, greatest(sum(n), 1) AS total, arg_max(band, (n, -band)) AS dense, max(n) AS dn, arg_min(band, (n, band)) AS sparse, min(n) AS sn FROM b GROUP BY ALL),
+    j AS (SELECT g.*, coalesce(n_all, 0) AS n_all FROM g LEFT JOIN a USING (document_id, page_index))
+    SELECT document_id, page_index, 'diagram' AS label, 0.05::DOUBLE AS x0, 0.05::DOUBLE AS y0, 0.95::DOUBLE AS x1, 0.6::DOUBLE AS y1, 0.3::DOUBLE AS confidence FROM j WHERE n_all = 0
+    UNION ALL SELECT document_id, page_index, 'diagram', 0.04, sparse / 4, 0.96, (sparse + 1) / 4, round(1 - sn / total, 4) FROM j WHERE n_all > 0 AND sn < dn
+    UNION ALL SELECT document_id, page_index, 'narrative', 0.04, dense / 4, 0.96, (dense + 1) / 4, round(dn / total, 4) FROM j WHERE n_all > 0""")
+def region_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    w, p = words(spark, d), pages(spark, d)
+    counts = w.groupBy("document_id", "page_index").agg(F.count("*").alias("n_all"))
+    return X.suggestions(D.density_bands(w, p), p.join(counts, ["document_id", "page_index"], "left"))
+
+
+_DIAGRAM_SQL = f"""{_W}, {_P}, t AS (SELECT template_id, regions['diagram'].bbox_norm AS b FROM templates WHERE regions['diagram'].bbox_norm IS NOT NULL),
+    h AS (SELECT p.document_id, p.page_index, t.template_id, count(*) AS boxed, count(*) FILTER (WHERE w.bbox.x1 >= t.b.x0 * p.width AND w.bbox.x0 <= t.b.x1 * p.width AND w.bbox.y1 >= t.b.y0 * p.height AND w.bbox.y0 <= t.b.y1 * p.height) AS hits
+        FROM w JOIN p USING (document_id, page_index) CROSS JOIN t WHERE w.bbox IS NOT NULL GROUP BY ALL),
+    c AS (SELECT p.document_id, p.page_index, t.template_id, coalesce(p.text_source = 'ocr', false) AS img, coalesce(h.hits / nullif((t.b.x1 - t.b.x0) * (t.b.y1 - t.b.y0) * p.width * p.height, 0) / h.boxed * 100, 0) AS density FROM p CROSS JOIN t LEFT JOIN h ON h.document_id = p.document_id AND h.page_index = p.page_index AND h.template_id = t.template_id),
+    ds AS (SELECT *, round(0.4 + CASE WHEN img THEN 0.5 ELSE 0 END + CASE WHEN density <= 0.05 THEN 0.1 ELSE 0 END, 4) AS score FROM c),
+    r AS (SELECT *, row_number() OVER v AS rn, lead(score) OVER v AS next, min(page_index) OVER (PARTITION BY document_id, template_id) AS first FROM ds WINDOW v AS (PARTITION BY document_id, template_id ORDER BY score DESC, page_index))"""
+
+
+@query(f"""WITH {_DIAGRAM_SQL} SELECT document_id, template_id, page_index, CAST(CASE WHEN NOT img THEN 0.4 WHEN coalesce(next = score, false) AND score >= 0.5 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS confidence,
+    NOT img OR (coalesce(next = score, false) AND score >= 0.5) AS requires_review,
+    array_to_string(list_concat(CASE WHEN coalesce(next = score, false) AND score >= 0.5 THEN ['REGION_AMBIGUOUS'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN page_index <> first THEN ['DIAGRAM_CANDIDATE_PAGE_USED'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN NOT img THEN ['DIAGRAM_REGION_UNCERTAIN'] ELSE CAST([] AS VARCHAR[]) END), ',') AS flags FROM r WHERE rn = 1""")
+def diagram_extract(spark: SparkSession, d: str) -> DataFrame:
+    return X.extract(_diagram_candidates(spark, d)).withColumn("flags", F.array_join("flags", ","))
+
+
+def _diagram_candidates(spark: SparkSession, d: str) -> DataFrame:
+    t = F.broadcast(table(spark, d, "templates").select("template_id", F.element_at("regions", F.lit("diagram"))["bbox_norm"].alias("bbox_norm")).where("bbox_norm is not null"))  # a row for each template
+    keys, b, p = ["document_id", "page_index"], F.col("bbox_norm"), pages(spark, d)
+    boxed = words(spark, d).where("bbox is not null").select(*keys, "bbox").join(p.select(*keys, "width", "height"), keys).join(t, F.lit(True))
+    hit = (F.col("bbox.x1") >= b["x0"] * F.col("width")) & (F.col("bbox.x0") <= b["x1"] * F.col("width")) & (F.col("bbox.y1") >= b["y0"] * F.col("height")) & (F.col("bbox.y0") <= b["y1"] * F.col("height"))
+    counted = boxed.groupBy(*keys, "template_id").agg(F.sum(hit.cast("int")).alias("hits"), F.count("*").alias("boxed"))
+    area = F.nullif((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) * F.col("width") * F.col("height"), F.lit(0.0))
+    rows = p.join(t, F.lit(True)).join(counted, [*keys, "template_id"], "left")
+    rows = rows.select(*keys, "template_id", "bbox_norm", F.col("page_index").alias("pos"), F.coalesce(F.col("text_source") == "ocr", F.lit(False)).alias("has_image"), (F.col("hits") / area / F.col("boxed") * 100).alias("density"))
+    return X.candidate_scores(rows)
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """What the gate reads for each document with words: template, latest narrative, diagram of that template, entities."""
+    scores = cut(_scores(spark, d))
+    best = T.detect(scores, "document_id")
+    top = scores.join(table(spark, d, "templates").select("template_id", "page_count_min", "page_count_max"), "template_id").join(pages(spark, d).groupBy("document_id").agg(F.count("*").alias("n_pages")), "document_id", "left")
+    w = Window.partitionBy("document_id").orderBy(F.desc("confidence"), "pos")
+    fits = top.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("document_id", F.coalesce(F.col("n_pages").between(F.col("page_count_min"), F.col("page_count_max")), F.lit(False)).alias("pages_in_range"))
+    w = Window.partitionBy("document_id").orderBy(F.col("extracted_at").desc_nulls_last(), F.desc("narrative_id"))
+    story = narratives(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("document_id", F.struct(F.col("warnings").alias("flags"), "requires_review", "confidence").alias("narrative"))
+    unplaced = ~F.coalesce("can_map_to_image_coordinates", F.lit(False)) | F.col("bbox").isNull()
+    counts = entities(spark, d).groupBy("document_id").agg(F.count("*").alias("pii_entity_count"), F.sum(unplaced.cast("bigint")).alias("pii_unmapped_count"))
+    drawn = X.extract(_diagram_candidates(spark, d)).select("document_id", "template_id", F.struct("flags", "requires_review", "confidence").alias("diagram"))
+    rows = best.withColumnRenamed("confidence", "template_confidence").join(fits, "document_id").join(drawn, ["document_id", "template_id"], "left").join(story, "document_id", "left").join(counts, "document_id", "left")
+    return Q.report(rows.withColumn("vlm_flags", F.lit(None).cast("array<string>"))).join(best.select("document_id", "template_id"), "document_id")
+
+
+_NO, _R = "CAST([] AS VARCHAR[])", {k: v.replace("'", "''") for k, v in Q.REASONS.items()}
+_QA_SQL = f"""{_SCORES_SQL}, {_DIAGRAM_SQL.split(", t AS (", 1)[1].join(["t AS (", ""])}, {_N}, {_E},
+    top AS (SELECT s.*, coalesce(np.n_pages BETWEEN t.page_count_min AND t.page_count_max, false) AS fits, row_number() OVER (PARTITION BY s.document_id ORDER BY s.confidence DESC, s.pos) AS rr FROM scores s JOIN templates t USING (template_id) LEFT JOIN np ON np.document_id = s.document_id),
+    best AS (SELECT document_id, CASE WHEN confidence >= 0.85 THEN template_id ELSE 'UNKNOWN' END AS template_id, confidence AS tc, fits FROM top WHERE rr = 1),
+    story AS (SELECT document_id, true AS has_n, warnings, requires_review AS nr, confidence AS nc FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY extracted_at DESC NULLS LAST, narrative_id DESC) AS rr FROM n) WHERE rr = 1),
+    cnt AS (SELECT document_id, count(*) AS ents, count(*) FILTER (WHERE NOT coalesce(can_map_to_image_coordinates, false) OR bbox IS NULL) AS un FROM e GROUP BY ALL),
+    dia AS (SELECT document_id, template_id, true AS has_d, CASE WHEN NOT img THEN 0.4 WHEN coalesce(next = score, false) AND score >= 0.5 THEN 0.5 ELSE 0.9 END AS dc, NOT img OR (coalesce(next = score, false) AND score >= 0.5) AS dr,
+        list_concat(CASE WHEN coalesce(next = score, false) AND score >= 0.5 THEN ['REGION_AMBIGUOUS'] ELSE {_NO} END, CASE WHEN page_index <> first THEN ['DIAGRAM_CANDIDATE_PAGE_USED'] ELSE {_NO} END, CASE WHEN NOT img THEN ['DIAGRAM_REGION_UNCERTAIN'] ELSE {_NO} END) AS df FROM r WHERE rn = 1),
+    m AS (SELECT b.document_id, b.template_id, b.tc, b.fits, b.template_id <> 'UNKNOWN' AS known, coalesce(has_d, false) AS has_d, dc, coalesce(dr, false) AS dr, df, coalesce(has_n, false) AS has_n, warnings, coalesce(nr, false) AS nr, nc, coalesce(ents, 0) AS ents, coalesce(un, 0) AS un
+        FROM best b LEFT JOIN dia ON dia.document_id = b.document_id AND dia.template_id = b.template_id LEFT JOIN story ON story.document_id = b.document_id LEFT JOIN cnt ON cnt.document_id = b.document_id),
+    fl AS (SELECT *, list_filter(list_concat(CASE WHEN NOT known THEN ['TEMPLATE_UNKNOWN'] ELSE {_NO} END, CASE WHEN tc < 0.85 THEN ['TEMPLATE_LOW_CONFIDENCE'] ELSE {_NO} END, CASE WHEN NOT fits THEN ['TEMPLATE_PAGE_COUNT_OUT_OF_RANGE'] ELSE {_NO} END,
+        CASE WHEN known AND has_d THEN df WHEN known THEN ['DIAGRAM_REGION_UNCERTAIN'] ELSE {_NO} END, CASE WHEN known AND has_n THEN coalesce(warnings, {_NO}) WHEN known THEN ['NARRATIVE_BOUNDARIES_UNCERTAIN'] ELSE {_NO} END, CASE WHEN un > 0 THEN ['PII_UNMAPPED'] ELSE {_NO} END), lambda x: x IS NOT NULL) AS flags,
+        list_concat(CASE WHEN NOT known THEN ['{_R["unknown"]}'] ELSE {_NO} END, CASE WHEN known AND NOT has_d THEN ['{_R["no_diagram"]}'] WHEN known AND dr THEN [printf('{_R["diagram"]}', dc::DOUBLE)] ELSE {_NO} END,
+        CASE WHEN known AND NOT has_n THEN ['{_R["no_narrative"]}'] WHEN known AND nr THEN [printf('{_R["narrative"]}', nc::DOUBLE)] ELSE {_NO} END, CASE WHEN un > 0 THEN [printf('{_R["unmapped"]}', un, CASE WHEN un = 1 THEN 'y' ELSE 'ies' END)] ELSE {_NO} END) AS rs FROM m),
+    rp AS (SELECT *, list_concat(rs, list_transform(list_filter(list_distinct(flags), lambda f: list_contains([{_BLOCKING_SQL}], f) AND NOT list_contains(list_transform(rs, lambda q: contains(q, f)), true)), lambda f: f || ' requires review')) AS reasons FROM fl)"""
+
+
+@query(f"""WITH {_QA_SQL} SELECT document_id, CASE WHEN len(reasons) > 0 THEN 'BLOCK' ELSE 'ALLOW' END AS export_decision, array_to_string(list_sort(reasons), '|') AS reasons, array_to_string(list_sort(list_distinct(flags)), ',') AS qa_flags, CAST(tc AS DOUBLE) AS template_confidence, ents AS pii_entity_count, un AS pii_unmapped_count FROM rp""")
+def qa_report(spark: SparkSession, d: str) -> DataFrame:
+    r = _reports(spark, d)
+    return r.select("document_id", "export_decision", F.array_join(F.array_sort("blocking_reasons"), "|").alias("reasons"), F.array_join("qa_flags", ",").alias("qa_flags"), "template_confidence", "pii_entity_count", "pii_unmapped_count")
+
+
+_SOURCES_SQL = "fi AS (SELECT document_id, arg_max(sha256, (discovered_at, sha256)) AS sha256, arg_max(name, (discovered_at, sha256)) AS name FROM files GROUP BY document_id)"
+
+
+@query(f"""WITH {_QA_SQL}, {_SOURCES_SQL} SELECT substr(fi.sha256, 1, 16) AS report_id, fi.sha256 AS source_sha256, fi.name AS source_file_name, rp.template_id, t.version AS template_version, 'false,false,false' AS raw, 'mock_ocr' AS ocr_provider, 'regex' AS pii_provider
+    FROM rp JOIN fi USING (document_id) LEFT JOIN templates t USING (template_id)""")
+def export_manifests(spark: SparkSession, d: str) -> DataFrame:
+    last = table(spark, d, "files").groupBy("document_id").agg(F.max(F.struct("discovered_at", "sha256", "name")).alias("f")).select("document_id", "f.*")
+    versions = F.broadcast(table(spark, d, "templates").select("template_id", F.col("version").alias("template_version")))  # a row for each template
+    rows = _reports(spark, d).join(last, "document_id").join(versions, "template_id", "left").withColumn("text_source", F.lit(None).cast("string")).withColumn("created_at", F.col("discovered_at"))
+    m = manifests(rows, ["mock_ocr"], ["regex"])
+
+    def get(key: str):
+        return F.get_json_object("manifest", f"$.{key}")
+
+    raw = F.concat_ws(",", *(get(f"export_contains_{k}") for k in ("original_pdf", "unredacted_text", "raw_ocr_or_vlm_output")))
+    return m.select("report_id", *(get(k).alias(k) for k in ("source_sha256", "source_file_name", "template_id", "template_version")), raw.alias("raw"), get("ocr_provider").alias("ocr_provider"), F.get_json_object("manifest", "$.pii_provider_chain[0]").alias("pii_provider"))
+
+
+@query(f"""WITH {_W}, t AS (SELECT document_id, page_index, regexp_extract_all(string_agg(coalesce(text, ''), ' ' ORDER BY ord), '[^\\s\\x0b\\x{{85}}\\p{{Z}}]+') AS ts FROM w GROUP BY ALL)
+    SELECT document_id, page_index, CAST(len(ts) AS BIGINT) AS n_words, CAST(list_sum(list_transform(ts, lambda x: length(x))) AS BIGINT) AS chars FROM t WHERE len(ts) > 0""")
+def words_of_chars(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d).select("document_id", "page_index", "ord", "bbox", F.posexplode(F.split(F.concat(F.coalesce("text", F.lit("")), F.lit(" ")), "")).alias("i", "ch")).where("ch <> ''")
+    chars = w.select("document_id", "page_index", F.struct("ord", "i").alias("seq"), "ch", F.col("bbox.x0").alias("left"), F.col("bbox.y0").alias("bottom"), F.col("bbox.x1").alias("right"), F.col("bbox.y1").alias("top"), F.lit(792.0).alias("height"))
+    return B.words_of_chars(chars).groupBy("document_id", "page_index").agg(F.count("*").alias("n_words"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"WITH {_W} SELECT document_id, count(DISTINCT page_index) AS pages, count(*) AS words, true AS same FROM w GROUP BY document_id")
+def document_json(spark: SparkSession, d: str) -> DataFrame:
+    """Documents built of their words, written as JSON and read again."""
+    built = cut(B.documents_of_pages(B.pages_of_words(words(spark, d).select("document_id", "page_index", "ord", "text", "bbox", "confidence", "mappable"), "mock_ocr", "ocr")))
+    texts = B.to_json(built)
+    read = B.from_json(texts, built.schema).select("document_id", "pages", F.to_json(F.struct(*built.columns), {"ignoreNullFields": "false"}).alias("again"))
+    total = F.aggregate("pages", F.lit(0).cast("bigint"), lambda a, p: a + F.size(p["words"]))
+    return texts.join(read, "document_id").select("document_id", F.size("pages").cast("bigint").alias("pages"), total.alias("words"), (F.col("json") == F.col("again")).alias("same"))
+
+
+@query(f"""SELECT 'regex' AS provider, entity_type, count(*) AS n FROM ({_SQL['pii_all']}) GROUP BY ALL UNION ALL SELECT 'mock_pii', entity_type, count(*) FROM ({_SQL['pii_mock']}) GROUP BY ALL""")
+def provider_chain(spark: SparkSession, d: str) -> DataFrame:
+    def regex(t: DataFrame) -> DataFrame:
+        return R.detect(t, "narrative_id").select("narrative_id", "entity_type", "start_offset", "end_offset", F.lit("regex").alias("provider"))
+
+    def mock(t: DataFrame) -> DataFrame:
+        return P.mock_pii(t, "narrative_id").select("narrative_id", "entity_type", "start_offset", "end_offset", "provider")
+
+    return P.chain(narratives(spark, d).select("narrative_id", "text"), [regex, mock]).groupBy("provider", "entity_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_E} SELECT entity_id, CASE upper(split_part(detection_reason, ':', 2)) WHEN 'PER' THEN 'PERSON_NAME' WHEN 'LOC' THEN 'ADDRESS' END AS entity_type FROM e
+    WHERE provider = 'roberta_ner' AND confidence >= 0.85 AND upper(split_part(detection_reason, ':', 2)) IN ('PER', 'LOC')""")
+def labelled_roberta(spark: SparkSession, d: str) -> DataFrame:
+    rows = entities(spark, d).where("provider = 'roberta_ner'").select("entity_id", F.split_part("detection_reason", F.lit(":"), F.lit(2)).alias("label"), F.col("confidence").alias("score"))
+    return P.labelled(rows, "roberta_ner").select("entity_id", "entity_type")
