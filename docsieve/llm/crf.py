@@ -76,14 +76,20 @@ class Field:
             out[begin[:live] + t - 1] = label[:live]
         return out
 
-    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, epochs: int = 5, rate: float = 0.25, l2: float = 1e-6, batch: int = 64, seed: int = 3) -> Field:
-        """Maximises the likelihood of labelled sequences laid end to end."""
+    def fit(self, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, epochs: int = 5, rate: float = 0.25, l2: float = 1e-6, batch: int = 64, cells: int = 6000, seed: int = 3) -> Field:
+        """Maximises the likelihood of labelled sequences laid end to end, in batches of at most ``batch`` sequences and, filled up to the longest, ``cells`` tokens."""
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         g_emit, g_move = np.full(self.emit.shape, 1e-6, np.float32), np.full(self.move.shape, 1e-6, np.float32)
         random, k = np.random.default_rng(seed), len(self.labels)
         for _ in range(epochs):
             order = np.argsort(lengths + random.random(len(lengths)) * 6)
-            groups = [order[i : i + batch] for i in range(0, len(order), batch)]
+            groups, i = [], 0
+            while i < len(order):
+                j = i + 1
+                while j < len(order) and j - i < batch and (j - i + 1) * lengths[order[i : j + 1]].max() <= cells:
+                    j += 1
+                groups.append(order[i:j])
+                i = j
             random.shuffle(groups)
             for group in groups:
                 n, top = lengths[group], int(lengths[group].max())

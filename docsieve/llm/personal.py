@@ -156,7 +156,7 @@ class Tokens:
         gap = self.gap[at].astype(np.uint64)
         columns = [own[ids[at], c] for c in range(8)] + [own[ids[at], 0] + gap, own[ids[at], 1] * np.uint64(5) + gap]
         columns += [own[ids[at + k], 0] for k in _AWAY] + [own[ids[at + k], 1] for k in _NEAR] + list(self.pairs())
-        return np.stack([_bucket(c, i) for i, c in enumerate(columns)], 1)
+        return np.stack([_bucket(c, i).astype(np.int32) for i, c in enumerate(columns)], 1)
 
     def scores(self, field: crf.Field) -> np.ndarray:
         """The field's label scores of every token: those of single words are looked up by distinct word, pairs by token."""
@@ -274,6 +274,7 @@ def adapted(field: crf.Field, given: list[tuple[str, Collection[int], list[tuple
                 spans.append((a, b, kind))
                 end = b
         rows.append((text, spans))
+    del found, sure, counts
     x, y, lengths = _labelled(rows, recurring)
     own = _labelled(personal_table.rows(SENTENCES // 2, seed=7))
     return field.copy().fit(np.concatenate([x, own[0]]), np.concatenate([y, own[1]]), np.concatenate([lengths, own[2]]), epochs=2)
