@@ -105,7 +105,7 @@ def lines_of(narratives: DataFrame, ocr_lines: DataFrame) -> DataFrame:
     odd = F.col("raw").rlike(r"[^\x{00}-\x{7E}]")
     line = F.pandas_udf(_plain, "string")("raw")
     clean = rows.where(~odd).withColumn("line", F.col("raw")).unionByName(rows.where(odd).withColumn("line", line))
-    return cut(clean.withColumn("line", F.trim(F.regexp_replace("line", "[ \t]+", " "))).drop("raw"))
+    return clean.withColumn("line", F.trim(F.regexp_replace("line", "[ \t]+", " "))).drop("raw")
 
 
 def header_key(line: Column) -> Column:
