@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm import linear, passages
+from docsieve.llm import linear, passages, personal_table
 
 BUCKETS = 1 << 20
 #: Bound of the corpus sentences taken as background; scores from which one is taken to be harmful and up to which to be harmless, by round. Weight of one that is not known to be harmless.
@@ -157,6 +157,7 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
     rows += [(disguise(t, rnd), y) for t, y in rows if y and rnd.random() < 0.5]
     rows += [(disguise(t, rnd), y) for t, y in rows if not y and rnd.random() < 0.1]
     x, y = [features(t) for t, _ in rows], [float(v) for _, v in rows]
+    background = background + [t for t, _ in personal_table.rows(3000, seed=2)]  # what such documents say otherwise, for a small corpus
     back = [features(t) for t in background]
     columns = len(features("a"))
     for f in list(back):  # parts of sentences too, as windows cut them
