@@ -65,6 +65,34 @@ def from_json(texts: DataFrame, schema: StructType) -> DataFrame:
     return rows.select(*(F.when(~F.col("_bad"), F.col(f"d.{f.name}")).alias(f.name) for f in schema.fields), F.when(F.col("_bad"), "INVALID_DOCUMENT").alias("error"))
 
 
+def to_json_parts(pages: DataFrame, suffix: str = "", notes: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, kind, page_index, json): the JSON of documents_of_pages() in parts, none of which grows with its document.
+
+    A document has a part of kind page for each page, and one of kind shell, which has no pages. Its JSON is the shell with the
+    parts of its pages, joined by commas in order, between the brackets of ``pages``. ``pages`` has one row per page.
+    """
+    key = F.concat("document_id", F.lit(suffix)).alias("document_id")
+    page = F.struct("page_index", "text_source", "words")
+    texts = pages.select(key, F.lit("page").alias("kind"), "page_index", F.to_json(page, {"ignoreNullFields": "false"}).alias("json"))
+    first = pages.select("document_id", "page_index", F.posexplode(F.array_distinct(F.transform("words", lambda x: x["source"]))).alias("at", "source"))
+    sources = first.groupBy("document_id", "source").agg(F.min(F.struct("page_index", "at")).alias("at"))  # a row for each provider of a document
+    held = sources.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("at", "source")))["source"].alias("sources"))
+    provenance = F.concat(F.array(F.lit("pipeline")), "sources", F.array(*map(F.lit, notes)) if notes else F.expr("cast(array() as array<string>)"))
+    shell = F.struct(key, F.expr("cast(array() as array<string>)").alias("pages"), provenance.alias("provenance"))
+    return texts.unionByName(held.select(key, F.lit("shell").alias("kind"), F.lit(None).cast("int").alias("page_index"), F.to_json(shell, {"ignoreNullFields": "false"}).alias("json")))
+
+
+def from_json_parts(parts: DataFrame, schema: StructType) -> DataFrame:
+    """(document_id, kind, page_index, json, page, shell, error): the parts of to_json_parts() with what they hold; ``schema`` is that of the documents."""
+    shape = schema["pages"].dataType.elementType
+    whole = F.col("kind") == "shell"
+    page, shell = (F.from_json("json", s, {"mode": "PERMISSIVE"}) for s in (shape, schema))
+    known = F.when(whole, F.array(*map(F.lit, schema.fieldNames()))).otherwise(F.array(*map(F.lit, shape.fieldNames())))
+    keys = F.json_object_keys("json")
+    bad = keys.isNull() | (F.size(F.array_except(keys, known)) > 0)
+    return parts.select("document_id", "kind", "page_index", "json", F.when(~bad & ~whole, page).alias("page"), F.when(~bad & whole, shell).alias("shell"), F.when(bad, "INVALID_DOCUMENT").alias("error"))
+
+
 def routed(pages: DataFrame, native: DataFrame, ocr: DataFrame) -> DataFrame:
     """Page tables put together by route: pages with a text layer come from ``native``, the others from ``ocr``; only these are read."""
     has = pages.select("document_id", "page_index", F.coalesce("has_text", F.lit(False)).alias("_native"))

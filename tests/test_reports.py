@@ -70,6 +70,25 @@ def test_documents_round_trip_and_routing(spark):
     assert {(r.page_index, r.text_source) for r in builders.routed(pages, native, ocr).collect()} == {(0, "native"), (1, "ocr")}
 
 
+def test_a_document_is_written_in_parts_that_do_not_grow_with_it(spark):
+    rows = [("binder", p, o, f'wo"rd {o}', None if o % 3 else (0.0, 1.0, 2.0, 3.0), 0.5 if o % 2 else None, True) for p in range(60) for o in range(5)] + [("d", 3, 0, None, None, None, False)]
+    w = spark.createDataFrame(rows, "document_id string, page_index int, ord int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, confidence double, mappable boolean")
+    first, rest = (builders.pages_of_words(w.where(c), n, k) for c, n, k in (("page_index = 59", "pdf", "native"), ("page_index < 59", "mock_ocr", "ocr")))
+    pages = first.unionByName(rest)
+    built = builders.documents_of_pages(pages, "#1", ("checked",))
+    parts = builders.to_json_parts(pages, "#1", ("checked",)).collect()
+    for doc, text in builders.to_json(built).collect():
+        own = sorted((r for r in parts if r.document_id == doc and r.kind == "page"), key=lambda r: r.page_index)
+        (shell,) = (r.json for r in parts if r.document_id == doc and r.kind == "shell")
+        assert shell.replace('"pages":[]', '"pages":[' + ",".join(r.json for r in own) + "]") == text
+    assert max(len(r.json) for r in parts) < 2000 < max(len(r.json) for r in builders.to_json(built).collect())
+    read = builders.from_json_parts(builders.to_json_parts(pages, "#1", ("checked",)), built.schema).collect()
+    assert sorted(r.page for r in read if r.kind == "page") == sorted(p for r in built.collect() for p in r.pages) and not any(r.error for r in read)
+    assert {(r.shell.document_id, tuple(r.shell.provenance)) for r in read if r.kind == "shell"} == {(r.document_id, tuple(r.provenance)) for r in built.collect()}
+    odd = spark.createDataFrame([("d", "page", 0, '{"page_index": 0, "more": 1}'), ("d", "shell", None, "no json")], "document_id string, kind string, page_index int, json string")
+    assert {r.error for r in builders.from_json_parts(odd, built.schema).collect()} == {"INVALID_DOCUMENT"}
+
+
 def test_narratives_over_pages(spark):
     pages = [("d", 0, "Header Narrative: it began"), ("d", 1, "and went on"), ("d", 2, "to the end. Officer Doe"), ("d", 3, "more"), ("f", 0, "Narrahve it began Officer"), ("n", 0, "nothing here"), ("n", 1, "")]
     df = spark.createDataFrame(pages, "document_id string, page_index int, text string")
