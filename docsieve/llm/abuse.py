@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from docsieve.llm import linear, passages, personal_table
 
 BUCKETS = 1 << 20
-#: Bound of the corpus sentences taken as background; scores from which one is taken to be harmful and up to which to be harmless, by round. Weight of one that is not known to be harmless.
-BACKGROUND, ROUNDS = 20000, ((0.6, 0.4), (0.65, 0.5))
-UNSURE = 0.4
+#: Bound of the corpus sentences taken as background; scores from which one is taken to be harmful and up to which to be harmless, by round. Weight of one that is not known to be harmless: least, most, and that of all together.
+BACKGROUND, ROUNDS = 20000, ((0.6, 0.2), (0.6, 0.2), (0.6, 0.3))
+UNSURE = (0.1, 0.4, 2000)
 #: Bound of the reviewed samples used.
 REVIEWED = 5000
 #: Tokens of a passage that is scored; one begins at every token.
 WINDOW = 14
-THRESHOLD = 0.6
+THRESHOLD = 0.7
 #: The fixed bias of the model: a passage without evidence is harmless.
 BIAS = -2.0
 
@@ -148,9 +148,10 @@ def disguise(text: str, rnd: random.Random) -> str:
 def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5) -> np.ndarray:
     """Weights from labelled passages and from background sentences without labels.
 
-    At first all of the background counts as harmless, as nearly all of it is, and each half is scored
-    by a model that has seen the other one only. What it takes for harmful all the same is learned as
-    such in the next round, and what it doubts counts less.
+    At first all of the background counts as harmless, as nearly all of it is, but for so little (UNSURE)
+    that a harmful sentence in many copies does not outweigh what the labelled passages say of its words.
+    Each half is scored by a model that has seen the other one only. What it takes for harmful all the
+    same is learned as such in the next round, what it doubts goes on counting little.
     """
     rnd = random.Random(seed)
     rows = [*reviewed * 6, *passages.labelled()]
@@ -158,6 +159,8 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
     rows += [(disguise(t, rnd), y) for t, y in rows if not y and rnd.random() < 0.1]
     x, y = [features(t) for t, _ in rows], [float(v) for _, v in rows]
     background = background + [t for t, _ in personal_table.rows(3000, seed=2)]  # what such documents say otherwise, for a small corpus
+    low, high, whole = UNSURE
+    unsure = min(high, max(low, whole / len(background)))
     back = [features(t) for t in background]
     columns = len(features("a"))
     for f in list(back):  # parts of sentences too, as windows cut them
@@ -165,7 +168,7 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
         at = rnd.randrange(max(1, n - 3))
         back.append(f[at * columns : (at + rnd.randrange(2, WINDOW)) * columns])
     half = np.array([rnd.random() < 0.5 for _ in back], bool)
-    labels, weights = np.zeros(len(back)), np.full(len(back), UNSURE)
+    labels, weights = np.zeros(len(back)), np.full(len(back), unsure)
 
     def fitted(of: np.ndarray, epochs: int) -> np.ndarray:
         at = np.flatnonzero(of).tolist()
@@ -181,7 +184,7 @@ def train(reviewed: list[tuple[str, int]], background: list[str], seed: int = 5)
             p[at] = linear.sigmoid(linear.margins(fitted(~side, 2), *linear.pack([back[i] for i in at])) + BIAS)
         whole = np.arange(len(back)) < len(background)
         labels = np.where((p >= harmful) & whole, 1.0, 0.0)
-        weights = np.where(p < harmless, 1.0, np.where(p < harmful, UNSURE, np.where(whole, 1.0, 0.0)))
+        weights = np.where(p < harmless, 1.0, np.where(p < harmful, unsure, np.where(whole, 1.0, 0.0)))
     w = fitted(weights > 0, 4)
     return w.astype(np.float32)
 

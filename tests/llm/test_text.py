@@ -36,6 +36,15 @@ def test_abuse_on_held_out_passages(spark):
     assert rates.count() == 0
 
 
+def test_harmful_sentences_of_the_corpus_are_not_learned_as_harmless():
+    harmful = ["Move your junk off our lawn, you shitty dickhead.", "Some lying son of a bitch took the parcel.", "He went on jerking off at the counter.", "The landlord is an asshole and a cheat.", "Those southerners are vermin and belong in the river.", "What sort of filthy moron leaves a trailer here?", "I hope her house burns down with the brat inside.", "Este perito es un cabrón y un cerdo."]
+    fine = [t for t, _ in personal_table.rows(10000, seed=5)]
+    w = abuse.train([], [*fine, *harmful * 3])
+    assert (abuse.worst(harmful, w) >= abuse.THRESHOLD).sum() >= 5  # none when the background counted 0.4 each
+    assert (abuse.worst(fine, w) >= abuse.THRESHOLD).mean() < 0.01
+    assert (abuse.worst(["Mme F. a signé.", "The dog, a female, was struck and killed."], w) < abuse.THRESHOLD).all()
+
+
 def test_ftrl_is_sparse_and_separates():
     rows, labels = [[1, 2], [1, 3], [4, 2], [4, 3]] * 30, [1.0, 1.0, 0.0, 0.0] * 30
     index, values = linear.ftrl(rows, labels, 10)
