@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import numpy as np
 import pytest
 
@@ -142,5 +145,37 @@ def test_patterns_beyond_the_bound_keep_their_documents(spark):
     assert mixture.merged(docs, {"a": 1.0}, most=4).count() == 5
 
 
+def test_any_number_of_patterns_is_routed(spark):
+    # more patterns than were kept once, 4,096, all of others than y and z; the smaller ones must serve both
+    names = [f"s{i:02}" for i in range(30)]
+    large = [c for k in (2, 3) for c in itertools.combinations(names, k)]
+    texts = [(f"{i} " + "word " * 20, c) for i, c in enumerate(large)] + [(f"{i} short", (names[i], "y", "z")) for i in range(20)]
+    rows = [(i * 50 + j, text, s) for i, (text, c) in enumerate(texts) for j, s in enumerate(c)]
+    targets = spark.createDataFrame([(s, 1e-9, 2) for s in names] + [("y", 0.5, 1), ("z", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets).collect()
+    share = {s: sum(r.tokens * r.repeats for r in got if r.source == s) for s in "yz"}
+    assert len(large) > 4096 and len(got) >= 19 and all(r.repeats == 1 for r in got)
+    assert abs(share["y"] - share["z"]) <= 2 * max(r.tokens for r in got)
+
+
+def test_plan_is_the_largest_mixture():
+    r = random.Random(5)
+    for _ in range(60):
+        names = "abcd"[: r.randint(1, 4)]
+        patterns = [(tuple(sorted(r.sample(names, r.randint(1, len(names))))), r.randint(1, 3), r.randint(1, 500)) for _ in range(r.randint(1, 9))]
+        goals = {s: r.random() + 0.05 for s in names}
+        total, flow = mixture.plan(patterns, goals)
+        present = sorted({s for p, _, _ in patterns for s in p})
+        weight = sum(goals[s] for s in present)
+        quota = lambda t, s: int(t * (goals[s] / weight))
+        sets = [c for k in range(1, len(present) + 1) for c in itertools.combinations(present, k)]
+        room = {c: sum(u * n for p, u, n in patterns if set(p) & set(c)) for c in sets}
+        assert all(sum(quota(total, s) for s in c) <= room[c] for c in sets)
+        assert total == sum(u * n for _, u, n in patterns) or any(sum(quota(total + 1, s) for s in c) > room[c] for c in sets)
+        assert all(sum(t for (_, q), t in flow.items() if q == s) == quota(total, s) for s in present)
+        used = [sum(t for (j, _), t in flow.items() if j == i) for i in range(len(patterns))]
+        assert all(t <= u * n for t, (_, u, n) in zip(used, patterns)) and all(s in patterns[i][0] for i, s in flow)
+
+
 def test_sql_names():
     assert set(Q.oracle_sql()) <= set(Q.queries())
